@@ -23,10 +23,28 @@ def shared_folder(spark: SparkSession) -> str:
 
 def stored(df: DataFrame, tag: str) -> DataFrame:
     """``df`` written to the shared folder and read again: lineage is cut, lost executors cost nothing."""
+    return _stored(df, tag)[0]
+
+
+def _stored(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def _discard(spark: SparkSession, path: str) -> None:
+    """Removes a stored table that nothing reads any more."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores in front as no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
 def slices(batches: Iterator, rows: int = 256) -> Iterator:
@@ -48,13 +66,14 @@ def connected_components(edges: DataFrame, tag: str, max_rounds: int = 60) -> Da
     Skewed hubs are split by adaptive skew joins; least labels combine before the shuffle.
     """
     both = stored(edges.select("a", "b").where("a <> b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")).where("a <> b")).distinct(), f"{tag}-edges")
-    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root")), f"{tag}-labels")
+    labels, path = _stored(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root")), f"{tag}-labels")
     for _ in range(max_rounds):
         near = both.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("m"))
         better = labels.join(near, "node").select("node", F.col("root").alias("was"), F.least("root", "m").alias("root"))
         jump = better.select(F.col("node").alias("root"), F.col("root").alias("next"))
-        after = stored(better.join(jump, "root", "left").select("node", "was", F.least("root", F.coalesce("next", "root")).alias("root")), f"{tag}-labels")
-        labels = after.select("node", "root")
+        after, new = _stored(better.join(jump, "root", "left").select("node", "was", F.least("root", F.coalesce("next", "root")).alias("root")), f"{tag}-labels")
+        _discard(edges.sparkSession, path)
+        labels, path = after.select("node", "root"), new
         if after.where("was <> root").isEmpty():
             return labels
     raise RuntimeError("components did not settle")

@@ -3,8 +3,8 @@
 log P(l | row) = tempered text likelihood + log P(declared | l) + log P(suffix | l) + log P(l | host)
 
 Text: a hashed character-trigram model per language, fitted on at most ``per_language``
-whole documents of each declared language (the documents with the least id hashes: one per
-language and hash bucket). All of every text is scored; the sum is divided by the square
+whole documents of each declared language (those with the least id hashes: one per language
+and hash bucket, with any rows that repeat its id). All of every text is scored; the sum is divided by the square
 root of its length, since neighbouring trigrams are not independent. Class ``und`` is a
 uniform model: it wins where no language explains the text, and such rows are rejected.
 
@@ -15,7 +15,8 @@ the total's, with ``alpha`` pseudo-rows each.
 Defined results: a null text counts as empty and gives no text evidence; texts under three
 characters neither; null host, suffix or declaration count as unknown; languages declared but
 not asked for are ignored; with no evidence at all the prior decides and the row is kept;
-an empty table gives an empty result; repeated rows each give a row.
+an empty table gives an empty result; repeated rows each give a row; of rows with the same
+id and text, ``keep_identified`` drops all if it rejects one.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, stored, text_or_empty
+from .common import slices, stored, text_or_empty, unused
 
 LANGUAGES = ("de", "en", "es", "fr")
 PER_LANGUAGE = 256
@@ -41,15 +42,12 @@ def trigrams(text: str, start: int = 0, stop: int | None = None) -> np.ndarray:
     return ((c[:-2] * np.uint32(0x9E3779B1) ^ c[1:-1] * np.uint32(0x85EBCA77) ^ c[2:] * np.uint32(0xC2B2AE3D)) >> np.uint32(16)) if len(c) > 2 else np.empty(0, np.uint32)
 
 
-def fit(samples: dict[str, list[str]], languages: tuple[str, ...]) -> np.ndarray:
-    """(buckets, languages + und) of log probabilities."""
-    out = np.full((BUCKETS, len(languages) + 1), -np.log(BUCKETS), np.float32)
-    for k, lang in enumerate(languages):
-        counts = np.full(BUCKETS, 0.1)
-        for t in samples.get(lang, ()):
-            counts += np.bincount(trigrams(t), minlength=BUCKETS)
-        if counts.sum() > 0.1 * BUCKETS:
-            out[:, k] = np.log(counts / counts.sum())
+def fit(counts: dict[str, np.ndarray]) -> np.ndarray:
+    """(buckets, languages + und) of log probabilities from each language's trigram counts, in order."""
+    out = np.full((BUCKETS, len(counts) + 1), -np.log(BUCKETS), np.float32)
+    for k, n in enumerate(counts.values()):
+        if n.any():
+            out[:, k] = np.log((n + 0.1) / (n + 0.1).sum())
         else:
             out[:, k] -= 5.0  # nothing to learn from
     return out
@@ -65,16 +63,33 @@ def score(text: str, table: np.ndarray) -> list[float]:
     return (total / max(n, 1) ** 0.5).tolist()
 
 
-def training_sample(docs: DataFrame, id_col: str, text_col: str, declared_col: str, languages: tuple[str, ...], per_language: int) -> dict[str, list[str]]:
-    """Whole texts by declared language, at most ``per_language`` each, found without moving texts."""
+def training_counts(docs: DataFrame, id_col: str, text_col: str, declared_col: str, languages: tuple[str, ...], per_language: int) -> dict[str, np.ndarray]:
+    """Trigram counts of whole texts by declared language, at most ``per_language`` texts each. Texts are counted
+    where they lie; only (language, bucket, count) rows, ``BUCKETS`` per language at most, reach the driver."""
     key = F.xxhash64(id_col)
     labelled = docs.where(F.col(declared_col).isin(*languages) & F.col(id_col).isNotNull())
     least = labelled.select(F.col(declared_col).alias("lang"), key.alias("h")).groupBy("lang", F.pmod("h", F.lit(per_language)).alias("bucket")).agg(F.min("h").alias("h")).collect()
     chosen = [r.h for r in least]
-    out: dict[str, list[str]] = {}
-    if chosen:
-        for r in labelled.where(key.isin(*chosen)).select(F.col(declared_col).alias("lang"), F.col(text_col).alias("text"), key.alias("h")).dropDuplicates(["lang", "h"]).toLocalIterator():
-            out.setdefault(r.lang, []).append(r.text or "")
+    out = {lang: np.zeros(BUCKETS) for lang in languages}
+    if not chosen:
+        return out
+
+    def run(batches):
+        import pyarrow as pa
+
+        counts: dict[str, np.ndarray] = {}
+        for b in slices(batches, 16):
+            for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                n = counts.setdefault(lang, np.zeros(BUCKETS, np.int64))
+                for at in range(0, max(len(text) - 2, 0), STEP):
+                    n += np.bincount(trigrams(text, at, at + STEP + 2), minlength=BUCKETS)
+        for lang, n in counts.items():
+            at = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at), pa.array(n[at])], ["lang", "bucket", "n"])
+
+    texts = labelled.where(key.isin(*chosen)).select(F.col(declared_col).alias("lang"), text_or_empty(text_col).alias("text"))
+    for r in texts.mapInArrow(run, "lang string, bucket bigint, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toLocalIterator():
+        out[r.lang][r.bucket] = r.n
     return out
 
 
@@ -90,7 +105,7 @@ def identify(
     languages: tuple[str, ...] = LANGUAGES, per_language: int = PER_LANGUAGE, alpha: float = ALPHA,
 ) -> DataFrame:
     """(doc_id, text_hash, text_lang, lang_id, posterior, kept) per row."""
-    table = fit(training_sample(docs, id_col, text_col, declared_col, languages, per_language), languages)
+    table = fit(training_counts(docs, id_col, text_col, declared_col, languages, per_language))
     none = F.lit(None).cast("string")
     rows = docs.select(
         F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(declared_col).cast("string").alias("declared"),
@@ -134,8 +149,9 @@ def identify(
 
 def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` without the rows whose language is rejected."""
-    out = stored(identify(docs, id_col, text_col, **options).where(~F.col("kept")).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct(), "language-rejected")
-    return docs.join(out, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__hash")), "left_anti")
+    gone_id, gone_hash = unused(docs, "__id"), unused(docs, "__hash")
+    out = stored(identify(docs, id_col, text_col, **options).where(~F.col("kept")).select(F.col("doc_id").alias(gone_id), F.col("text_hash").alias(gone_hash)).distinct(), "language-rejected")
+    return docs.join(out, F.col(id_col).eqNullSafe(F.col(gone_id)) & (F.xxhash64(text_col) == F.col(gone_hash)), "left_anti")
 
 
 def page_evidence(pages: DataFrame) -> DataFrame:

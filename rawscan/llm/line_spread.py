@@ -16,7 +16,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import stored, unused
 
 MIN_SITES = 3
 LG_K = 8  # 2**LG_K registers; relative error 1.04 / 2**(LG_K / 2)
@@ -43,18 +43,17 @@ def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, id_col: str = "doc_
 
 
 def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", lg_k: int = LG_K) -> DataFrame:
-    """``docs`` with the text rewritten and two columns more: __lines and __removed (bigint)."""
+    """``docs`` with the text rewritten and two columns more: __lines and __removed (bigint), named by ``unused``."""
     found = stored(boilerplate(docs, min_sites, id_col, text_col, site_col, lg_k), "line-boilerplate")
     hits = _lines(docs, id_col, text_col, site_col).join(found, ["h1", "h2"]).where(~F.col("id").eqNullSafe(F.col("keeper")))
-    per_row = hits.groupBy("id", "text_hash").agg(F.collect_set("pos").alias("__positions"))
-    per_row = per_row.select(F.col("id").alias("__id"), F.col("text_hash").alias("__text_hash"), "__positions")
-    joined = docs.join(per_row, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text_col) == F.col("__text_hash")), "left")
-    lines = F.split(F.col(text_col), "\n", -1)
-    rest = F.array_except(F.sequence(F.lit(0), F.size("__lines_array") - 1), F.col("__positions"))
-    kept = F.when(F.col("__positions").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(rest, lambda i: F.get(F.col("__lines_array"), i)), "\n"))
-    out = joined.withColumn("__lines_array", lines)
-    counts = [F.coalesce(F.when(F.col("__lines_array").isNotNull(), F.size("__lines_array")), F.lit(0)).cast("bigint").alias("__lines"), F.coalesce(F.when(F.col("__positions").isNotNull(), F.size("__positions")), F.lit(0)).cast("bigint").alias("__removed")]
-    return out.select(*[kept.alias(c) if c == text_col else F.col(c) for c in docs.columns], *counts)
+    its_id, its_hash, places, cut = (unused(docs, c) for c in ("__id", "__text_hash", "__positions", "__lines_array"))
+    per_row = hits.groupBy(F.col("id").alias(its_id), F.col("text_hash").alias(its_hash)).agg(F.collect_set("pos").alias(places))
+    joined = docs.join(per_row, F.col(id_col).eqNullSafe(F.col(its_id)) & (F.xxhash64(text_col) == F.col(its_hash)), "left")
+    out = joined.withColumn(cut, F.split(F.col(text_col), "\n", -1))
+    rest = F.array_except(F.sequence(F.lit(0), F.size(cut) - 1), F.col(places))
+    kept = F.when(F.col(places).isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(rest, lambda i: F.get(F.col(cut), i)), "\n"))
+    size = lambda c: F.when(F.col(c).isNotNull(), F.size(c)).otherwise(0).cast("bigint")
+    return out.select(*[kept.alias(c) if c == text_col else F.col(c) for c in docs.columns], size(cut).alias(unused(docs, "__lines")), size(places).alias(unused(docs, "__removed")))
 
 
 def op9_line_spread(spark, sf_dir):

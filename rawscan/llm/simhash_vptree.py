@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, merge_labels, slices, stored, text_or_empty
+from .common import connected_components, merge_labels, slices, stored, text_or_empty, unused
 
 SAMPLE = 16384  # distinct fingerprints that shape the tree
 HOMES = 65536  # wanted fingerprints at home in a shard
@@ -214,7 +214,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The row with the least id of each group, with all its columns; of rows that repeat that id, one. Rows with a null id stay."""
     members = simhash_components(docs, id_col, **options)
     kept = stored(members.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")), "simhash-kept")
-    rows = docs.join(kept.select(F.col("doc_id").alias("__kept")), F.col(id_col) == F.col("__kept"), "left").where(F.col("__kept").isNotNull() | F.col(id_col).isNull()).drop("__kept")
+    mark = unused(docs, "__kept")
+    rows = docs.join(kept.select(F.col("doc_id").alias(mark)), F.col(id_col) == F.col(mark), "left").where(F.col(mark).isNotNull() | F.col(id_col).isNull()).drop(mark)
     if kept.where("n > 1").isEmpty():
         return rows
     return rows.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionAll(rows.where(F.col(id_col).isNull()))
