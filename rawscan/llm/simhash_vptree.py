@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, merge_labels, slices, stored, text_or_empty, unused
+from .common import connected_components, merge_labels, slices, stored, text_or_empty
 
 SAMPLE = 16384  # distinct fingerprints that shape the tree
 HOMES = 65536  # wanted fingerprints at home in a shard
@@ -36,21 +36,25 @@ _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 _OFFSETS = (np.arange(8) * 256).astype(np.int64)
 
 
-def fingerprint(text: str, words: int = 3, seed: int = 42) -> int:
-    """Majority bits of the XXH64 of all word shingles (of the whole sequence, if shorter); 0 without words."""
+def shingle_hashes(text: str, words: int = 3, seed: int = 42) -> np.ndarray:
+    """XXH64 of all word shingles, repeats included (of the whole sequence, if shorter); none without words."""
     import xxhash
 
     parts = text.encode("utf-8", "surrogatepass").lower().split()
-    if not parts:
-        return 0
-    joined = b" ".join(parts)
+    joined, digest = b" ".join(parts), xxhash.xxh64_intdigest
     if len(parts) <= words:
-        return xxhash.xxh64_intdigest(joined, seed)
+        return np.array([digest(joined, seed)] if parts else [], np.uint64)
     at = np.zeros(len(parts) + 1, np.int64)
     np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1, out=at[1:])
-    digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], seed) for a, b in zip(at[:-words].tolist(), (at[words:] - 1).tolist(), strict=True)], np.uint64)
+    return np.array([digest(joined[a:b], seed) for a, b in zip(at[:-words].tolist(), (at[words:] - 1).tolist(), strict=True)], np.uint64)
+
+
+def fingerprint(text: str, words: int = 3, seed: int = 42) -> int:
+    """Majority bits of all shingles' hashes; 0 without words."""
+    hashes = shingle_hashes(text, words, seed)
     n = len(hashes)
+    if n < 2:
+        return int(hashes[0]) if n else 0
     counts = np.bincount((hashes.view(np.uint8).reshape(n, 8) + _OFFSETS).ravel(), minlength=2048).reshape(8, 256)
     ones = (counts @ _BITS).ravel()  # bit 8 * byte + i, little-endian
     return int(np.packbits(ones * 2 > n, bitorder="little").view("<u8")[0])
@@ -208,14 +212,3 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     least = classes.groupBy("root").agg(F.min("least").alias("component_id"))
     component = classes.join(least, "root").select("fp", "component_id")
     return fps.join(component, "fp").select(F.col("id").alias("doc_id"), "fp", "component_id")
-
-
-def keep_one(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The row with the least id of each group, with all its columns; of rows that repeat that id, one. Rows with a null id stay."""
-    members = simhash_components(docs, id_col, **options)
-    kept = stored(members.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")), "simhash-kept")
-    mark = unused(docs, "__kept")
-    rows = docs.join(kept.select(F.col("doc_id").alias(mark)), F.col(id_col) == F.col(mark), "left").where(F.col(mark).isNotNull() | F.col(id_col).isNull()).drop(mark)
-    if kept.where("n > 1").isEmpty():
-        return rows
-    return rows.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionAll(rows.where(F.col(id_col).isNull()))
