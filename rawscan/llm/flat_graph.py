@@ -26,7 +26,7 @@ from .common import connected_components, merge_labels, stored
 
 THRESHOLD = 0.93
 SAMPLE = 20_000
-SHARD = 512
+SHARD = 2048
 MAX_CLUSTERS = 4096
 OVERLAP = 0.2  # radians beyond the angle to the nearest centroid
 DEGREE, CANDIDATES, PRUNE = 20, 48, 1.2
@@ -83,6 +83,26 @@ def build(x: np.ndarray) -> np.ndarray:
     return out
 
 
+class Graph:
+    """Neighbours of node i: to[start[i] : start[i + 1]]."""
+
+    def __init__(self, start: np.ndarray, to: np.ndarray):
+        self.start, self.to = start, to
+
+    @staticmethod
+    def undirected(i: np.ndarray, j: np.ndarray, n: int) -> Graph:
+        """All edges lead back too: in a dense group some nodes are on nobody's list."""
+        edges = np.unique(np.concatenate([i * n + j, j * n + i]))
+        return Graph(np.searchsorted(edges, np.arange(n + 1) * n), edges % n)
+
+    def around(self, queries: np.ndarray, nodes: np.ndarray):
+        """(query, neighbour) arrays."""
+        size = self.start[nodes + 1] - self.start[nodes]
+        ends = np.cumsum(size)
+        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.start[nodes] - (ends - size), size)
+        return np.repeat(queries, size), self.to[at]
+
+
 def medoids(x: np.ndarray, k: int) -> np.ndarray:
     """The member nearest the mean, then those farthest from all so far."""
     first = int((x @ x.mean(0)).argmax())
@@ -96,7 +116,7 @@ def medoids(x: np.ndarray, k: int) -> np.ndarray:
     return np.array(out)
 
 
-def search(x: np.ndarray, adjacent: np.ndarray, queries: np.ndarray, threshold: float, beam: int = BEAM):
+def search(x: np.ndarray, adjacent: Graph, queries: np.ndarray, threshold: float, beam: int = BEAM):
     """Yields (query, member) index arrays with cosine >= threshold, a block of queries at a time, no query with itself."""
     n, f = len(x), x.astype(np.float32)
     starts = medoids(f, min(n, max(8, int(n**0.5))))
@@ -107,9 +127,13 @@ def search(x: np.ndarray, adjacent: np.ndarray, queries: np.ndarray, threshold:
         sim = f[q] @ f[starts].T
         top = np.argsort(-sim, axis=1)[:, : min(8, len(starts))]
         ids, sims = starts[top], np.take_along_axis(sim, top, 1)
+        sims = np.where(ids == q[:, None], -9, sims)
+        # a query is a node itself: its own list is an entry too, the surest way into a dense group
+        ids, sims = np.concatenate([ids, q[:, None]], 1), np.concatenate([sims, np.ones((m, 1), np.float32)], 1)
         seen[row, ids] = True
-        pool_q, pool_n, pool_s = [np.repeat(row[:, 0], ids.shape[1])], [ids.ravel()], [sims.ravel()]
-        done = np.zeros(ids.shape, bool)
+        done = sims <= -9
+        at_q, at_n = np.nonzero(~done)
+        pool_q, pool_n, pool_s = [at_q], [ids[at_q, at_n]], [sims[at_q, at_n]]
         while True:
             open_ = np.where(done, -9, sims)
             best = open_.argmax(1)
@@ -117,11 +141,7 @@ def search(x: np.ndarray, adjacent: np.ndarray, queries: np.ndarray, threshold:
             if not len(live):
                 break
             done[live, best[live]] = True
-            near = adjacent[ids[live, best[live]]]
-            lq = np.repeat(live, near.shape[1])
-            near = near.ravel()
-            ok = near >= 0
-            lq, near = lq[ok], near[ok]
+            lq, near = adjacent.around(live, ids[live, best[live]])
             new = ~seen[lq, near]
             flat = np.unique(lq[new] * n + near[new])
             lq, near = flat // n, flat % n
@@ -148,11 +168,7 @@ def search(x: np.ndarray, adjacent: np.ndarray, queries: np.ndarray, threshold:
                 yield from _verified(x, q[fq[i : i + (1 << 16)]], fn[i : i + (1 << 16)], threshold)
             next_q, next_n = [], []
             for i in range(0, len(fq), 1 << 14):
-                near = adjacent[fn[i : i + (1 << 14)]]
-                lq = np.repeat(fq[i : i + (1 << 14)], near.shape[1])
-                near = near.ravel()
-                ok = near >= 0
-                lq, near = lq[ok], near[ok]
+                lq, near = adjacent.around(fq[i : i + (1 << 14)], fn[i : i + (1 << 14)])
                 new = ~seen[lq, near]
                 flat = np.unique(lq[new] * n + near[new])
                 lq, near = flat // n, flat % n
@@ -232,20 +248,11 @@ def _searcher(threshold: float, beam: int):
         table = table.take(pa.array(order))
         node, home, n = (table.column(c).to_numpy() for c in ("node", "home", "n"))
         x = unit(_matrix(table.column("vector")))
-        lists = table.column("near").to_pylist()
-        width = max(1, max(len(v) for v in lists))
-        adjacent = np.full((len(node), 2 * width), -1)
-        for i, v in enumerate(lists):
-            at = np.searchsorted(node, v)
-            at = at[(at < len(node))]
-            known = at[np.isin(node[at], v)]
-            adjacent[i, : len(known)] = known
-        back = np.zeros(len(node), np.int64) + (adjacent >= 0).sum(1)
-        for i, j in np.argwhere(adjacent[:, :width] >= 0):  # edges also lead back, while there is room
-            to = adjacent[i, j]
-            if back[to] < 2 * width:
-                adjacent[to, back[to]] = i
-                back[to] += 1
+        lists = table.column("near").combine_chunks()
+        i, to = np.repeat(np.arange(len(node)), lists.value_lengths().to_numpy(zero_copy_only=False)), lists.flatten().to_numpy(zero_copy_only=False)
+        j = np.minimum(np.searchsorted(node, to), len(node) - 1)
+        here = node[j] == to
+        adjacent = Graph.undirected(i[here], j[here], len(node))
         label, links = np.arange(len(node)), np.zeros(len(node), np.int64)
         for a, b in search(x, adjacent, np.flatnonzero(home), threshold, beam):
             np.add.at(links, a, n[b])
