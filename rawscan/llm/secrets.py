@@ -61,6 +61,10 @@ def spans_of(text: Column, kind: str) -> Column:
     return F.when(text.rlike(pattern), F.aggregate(found, start, step, lambda acc: acc["spans"])).otherwise(F.array().cast(_SPAN))
 
 
+def _of_rank(rank: int):
+    return lambda span: span["rank"] == rank  # one parameter only: a second would be the index
+
+
 def _text_of(spans: Column) -> Column:
     kinds = F.array(*[F.lit(k) for k in KINDS])
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(kinds, s["rank"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
@@ -92,7 +96,7 @@ def scan(docs: DataFrame, max_owners: int = MAX_OWNERS, **columns) -> DataFrame:
     base = F.filter("spans", lambda s: s["rank"] < len(BASE))
     every = F.array_sort(F.concat(base, F.coalesce("added", F.array().cast(_SPAN))))
     zero = F.lit(0).cast("bigint")
-    counts = [F.size(F.filter("spans", lambda s, i=i: s["rank"] == i)).cast("bigint").alias(f"n_{k}") for i, k in enumerate(BASE)]
+    counts = [F.size(F.filter("spans", _of_rank(i))).cast("bigint").alias(f"n_{k}") for i, k in enumerate(BASE)]
     return found.join(per_row, "row", "left").select("doc_id", *counts, F.sha2(_text_of(base), 256).alias("base_sha256"), _text_of(every).alias("spans"), F.coalesce("n_live", zero).alias("n_live"), F.coalesce("n_example", zero).alias("n_example"))
 
 
