@@ -54,7 +54,7 @@ def myers(pattern: bytes, text: bytes, limit: int) -> int:
     for i, c in enumerate(pattern):
         peq[c] = peq.get(c, 0) | 1 << i
     mask, top = (1 << m) - 1, 1 << (m - 1)
-    pv, mv, score, best, get = mask, 0, m, limit + 1, peq.get
+    pv, mv, score, best, get = mask, 0, m, min(m, limit + 1), peq.get  # the empty substring is m edits away
     for c in text:
         eq = get(c, 0)
         xv = eq | mv
