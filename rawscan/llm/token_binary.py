@@ -31,65 +31,144 @@ from pyspark.sql import functions as F
 
 from .common import shared_folder, slices, text_or_empty
 
-_GAP = re.compile(r" (?=\s|$)")
+_CUT = re.compile(r" (?=\S)")
+#: a space before white space or the end; a wide notion of white space only costs time
+_GAP_RE2 = r" ([\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|\z)"
+_WORD = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([\\n.,;:!?\"')*$%&#-].*)?", re.DOTALL)
 BASE = 50257  # symbols from here on are nonterminals
 BLOCK_TOKENS = 1 << 20
 ROUNDS = 4
 MIN_COUNT = 48
 MAX_RULES = 65536 - BASE  # symbols then fit two bytes
-CACHE = 400_000
+CACHE = 800_000  # some 200 bytes each
 BLOCK_SCHEMA = "shard int, block int, start bigint, n_tokens bigint, doc_ids array<bigint>, lengths array<bigint>, payload binary"
 
 
 class CachedEncoder:
-    """Ids of texts as bytes (uint16), through the tokenizers library, one space-led chunk at a time.
-
-    Byte-level BPE splits a text before it merges, and always before a space with a
-    non-space behind it. So a text in which each space has one behind it is the
-    concatenation of its space-led chunks, encoded apart. Chunks not seen yet are encoded
-    as one string and told apart by the bytes that each id stands for. Other texts go to the
-    library whole. The cache only saves time; the older half is forgotten when it is full.
+    """Ids of texts (uint16), through the tokenizers library, one space-led chunk at a time.
+
+    Byte-level BPE splits a text before it merges, from left to right, and always before a
+    space with a non-space behind it. So a text is the concatenation of the chunks between
+    such spaces, encoded apart, each with its space. Arrow cuts a batch of texts and finds its
+    distinct chunks; only those are looked up. A chunk not seen yet that is letters and then
+    ASCII punctuation is split there too: its letters are one token of the splitter, so
+    the model encodes them directly. Other new chunks are encoded as one string and told apart
+    by the bytes that each id stands for. Texts with special strings go to the library
+    whole. The cache only saves time; the older half is forgotten when it is full.
     """
 
     def __init__(self, blob: bytes, special: tuple[str, ...] = ("<|endoftext|>",)):
         from tokenizers import Tokenizer
 
         self.tok, self.special = Tokenizer.from_buffer(blob), special
+        self.model = self.tok.model
         size = self.tok.get_vocab_size()
         self.n_bytes = np.array([len(self.tok.id_to_token(i)) for i in range(size)])
+        # the vocabulary's letter for each byte: printable ones stand for themselves, the others follow from 256 on
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        rest = iter(range(256, 512))
+        self.letter = {b: b if b in shown else next(rest) for b in range(256)}
+        self.space, self.two = chr(self.letter[32]), [i.to_bytes(2, "little") for i in range(size)]
         self.cache: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def _whole(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint16) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, np.uint16).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _chunks(self, parts: list[str]) -> list[bytes]:
-        chunks = [" " + p for p in parts]
-        ids = self._whole(["".join(chunks)])[0]
-        ends = np.searchsorted(np.cumsum(self.n_bytes[ids]), np.cumsum([len(c.encode("utf-8", "surrogatepass")) for c in chunks]), "left") + 1
-        data, ends = ids.tobytes(), (2 * ends).tolist()
+    def _joined(self, chunks: list[str]) -> list[bytes]:
+        """Chunks that end where the splitter cuts whatever follows."""
+        if not chunks:
+            return []
+        data = self._whole(["".join(chunks)])[0]
+        ends = np.searchsorted(np.cumsum(self.n_bytes[np.frombuffer(data, np.uint16)]), np.cumsum([len(c.encode("utf-8", "surrogatepass")) for c in chunks]), "left") + 1
+        ends = (2 * ends).tolist()
         return [data[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def _word(self, letters: str) -> bytes:
+        """A space and letters."""
+        letters = letters if letters.isascii() else letters.encode().decode("latin-1").translate(self.letter)
+        return b"".join([self.two[t.id] for t in self.model.tokenize(self.space + letters)])
+
+    def _fill(self, new: list[str]) -> None:
+        cache, old, odd, tails, later = self.cache, self.old, [], {}, []
+        tokenize, two, space = self.model.tokenize, self.two, self.space
+        for p in new:
+            if p in old:
+                cache[p] = old[p]
+                continue
+            if p.isascii() and p.isalpha():
+                cache[p] = b"".join([two[t.id] for t in tokenize(space + p)])
+                continue
+            m = _WORD.fullmatch(p)
+            if m is None:
+                odd.append(p)
+                continue
+            letters, tail = m.groups()
+            ids = cache.get(letters) or old.get(letters) or self._word(letters)
+            if tail:
+                cache.setdefault(letters, ids)
+                tails[tail] = None
+                later.append((p, ids, tail))
+            else:
+                cache[p] = ids
+        cache.update(zip(odd, self._joined([" " + p for p in odd]), strict=True))
+        tails = dict(zip(tails, self._whole(list(tails)), strict=True)) if tails else {}
+        for p, ids, tail in later:
+            cache[p] = ids + tails[tail]
+
+    def _lookup(self, chunks: list[str]) -> list[bytes]:
+        found = list(map(self.cache.get, chunks))
+        if None in found:
+            self._fill([p for p, f in zip(chunks, found, strict=True) if f is None])
+            found = list(map(self.cache.__getitem__, chunks))
+        return found
+
+    def encode(self, texts) -> list[bytes]:
+        """``texts``: an Arrow array of strings without nulls."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
         if len(self.cache) > CACHE // 2:
             self.old, self.cache = self.cache, {}
-        cache, old, split, first, missing = self.cache, self.old, [], {}, {}
-        for k, t in enumerate(texts):
-            parts = None
-            if t and not _GAP.search(t) and not any(s in t for s in self.special):
-                head, *parts = t.split(" ")
-                first[k] = head
-                missing.update(dict.fromkeys([p for p in parts if p not in cache]))
-            split.append(parts)
-        known = [p for p in missing if p in old]
-        cache.update(zip(known, [old[p] for p in known], strict=True))
-        new = [p for p in missing if p not in old]
-        if new:
-            cache.update(zip(new, self._chunks(new), strict=True))
-        # what is encoded whole: first chunks, which have no space before them, and texts that can't be cut
-        alone = dict(enumerate(first[k] if parts is not None else texts[k] for k, parts in enumerate(split)))
-        heads = [i.tobytes() for i in self._whole(list(alone.values()))]
-        return [h + b"".join([cache[p] for p in parts]) if parts else h for h, parts in zip(heads, split, strict=True)]
+        if not len(texts):
+            return []
+        slow = pc.match_substring_regex(texts, _GAP_RE2).to_numpy(zero_copy_only=False)
+        for s in self.special:
+            slow = slow | pc.match_substring(texts, s).to_numpy(zero_copy_only=False)
+        out: list = [None] * len(texts)
+        for i in np.flatnonzero(slow).tolist():
+            t = texts[i].as_py()
+            head, *parts = [t] if any(s in t for s in self.special) else _CUT.split(t)
+            out[i] = self._whole([head])[0] + b"".join(self._lookup(parts))
+        rows = np.flatnonzero(~slow)
+        if not len(rows):
+            return out
+        lists = pc.split_pattern(texts.take(pa.array(rows)), " ")
+        starts = lists.offsets.to_numpy().astype(np.int64)
+        flat = lists.flatten()
+        words = flat.dictionary_encode()
+        at = words.indices.to_numpy().astype(np.int64)
+        table = self._lookup(words.dictionary.to_pylist())
+        at[starts[:-1] - starts[0]] = len(table) + np.arange(len(rows))  # first chunks have no space before them
+        table += self._whole(flat.take(pa.array(starts[:-1] - starts[0])).to_pylist())
+        taken = pa.array(table, pa.large_binary()).take(pa.array(at))
+        _, ends, data = taken.buffers()
+        data, cuts = data.to_pybytes(), np.frombuffer(ends, np.int64, len(at) + 1)[starts - starts[0]].tolist()
+        for i, a, b in zip(rows.tolist(), cuts[:-1], cuts[1:], strict=True):
+            out[i] = data[a:b]
+        return out
+
+
+def _encoder(blob: bytes) -> CachedEncoder:
+    """One encoder for each Python worker, which later tasks find with its cache warm."""
+    import sys
+    import types
+
+    held = sys.modules.setdefault("__token_binary_worker__", types.ModuleType("__token_binary_worker__")).__dict__
+    key = f"encoder {zlib.crc32(blob)} {len(blob)}"
+    if key not in held:
+        held[key] = CachedEncoder(blob)
+    return held[key]
 
 
 def _slot(keys: np.ndarray) -> np.ndarray:
@@ -201,7 +280,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", te
         from pyspark import TaskContext
 
         shard, block, start = TaskContext.get().partitionId(), 0, 0
-        encoder, ids, parts, held = CachedEncoder(blob), [], [], 0
+        encoder, ids, parts, held = _encoder(blob), [], [], 0
 
         def flush():
             nonlocal block, start, ids, parts, held
@@ -212,8 +291,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", te
             return pa.RecordBatch.from_pylist([row], schema)
 
         schema = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("payload", pa.binary())])
-        for b in slices(batches):
-            for i, p in zip(b.column(0).to_pylist(), encoder.encode(b.column(1).to_pylist()), strict=True):
+        for b in slices(batches, 2048):
+            for i, p in zip(b.column(0).to_pylist(), encoder.encode(b.column(1)), strict=True):
                 ids.append(i)
                 parts.append(p + end)
                 held += len(p) // 2 + 1
