@@ -67,8 +67,9 @@ class CachedEncoder:
         # the vocabulary's letter for each byte: printable ones stand for themselves, the others follow from 256 on
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = iter(range(256, 512))
-        self.letter = {b: b if b in shown else next(rest) for b in range(256)}
-        self.space, self.two = chr(self.letter[32]), [i.to_bytes(2, "little") for i in range(size)]
+        letter = [chr(b if b in shown else next(rest)) for b in range(256)]
+        self.letters = {c: "".join([letter[b] for b in chr(c).encode()]) for c in range(192, 256)}
+        self.space, self.two = letter[32], [i.to_bytes(2, "little") for i in range(size)]
         self.cache: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -84,14 +85,9 @@ class CachedEncoder:
         ends = (2 * ends).tolist()
         return [data[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
-    def _word(self, letters: str) -> bytes:
-        """A space and letters."""
-        letters = letters if letters.isascii() else letters.encode().decode("latin-1").translate(self.letter)
-        return b"".join([self.two[t.id] for t in self.model.tokenize(self.space + letters)])
-
     def _fill(self, new: list[str]) -> None:
         cache, old, odd, tails, later = self.cache, self.old, [], {}, []
-        tokenize, two, space = self.model.tokenize, self.two, self.space
+        tokenize, two, space, shown, match = self.model.tokenize, self.two, self.space, self.letters, _WORD.fullmatch
         for p in new:
             if p in old:
                 cache[p] = old[p]
@@ -99,18 +95,17 @@ class CachedEncoder:
             if p.isascii() and p.isalpha():
                 cache[p] = b"".join([two[t.id] for t in tokenize(space + p)])
                 continue
-            m = _WORD.fullmatch(p)
+            m = match(p)
             if m is None:
                 odd.append(p)
                 continue
             letters, tail = m.groups()
-            ids = cache.get(letters) or old.get(letters) or self._word(letters)
+            ids = cache.get(letters) or old.get(letters)
+            if ids is None:
+                ids = cache[letters] = b"".join([two[t.id] for t in tokenize(space + (letters if letters.isascii() else letters.translate(shown)))])
             if tail:
-                cache.setdefault(letters, ids)
                 tails[tail] = None
                 later.append((p, ids, tail))
-            else:
-                cache[p] = ids
         cache.update(zip(odd, self._joined([" " + p for p in odd]), strict=True))
         tails = dict(zip(tails, self._whole(list(tails)), strict=True)) if tails else {}
         for p, ids, tail in later:
@@ -125,6 +120,17 @@ class CachedEncoder:
 
     def encode(self, texts) -> list[bytes]:
         """``texts``: an Arrow array of strings without nulls."""
+        import gc
+
+        collecting = gc.isenabled()
+        gc.disable()  # many small objects, none in a cycle
+        try:
+            return self._encode(texts)
+        finally:
+            if collecting:
+                gc.enable()
+
+    def _encode(self, texts) -> list[bytes]:
         import pyarrow as pa
         import pyarrow.compute as pc
 
@@ -148,7 +154,7 @@ class CachedEncoder:
         flat = lists.flatten()
         words = flat.dictionary_encode()
         at = words.indices.to_numpy().astype(np.int64)
-        table = self._lookup(words.dictionary.to_pylist())
+        table = self._lookup(words.dictionary.to_numpy(zero_copy_only=False).tolist())
         at[starts[:-1] - starts[0]] = len(table) + np.arange(len(rows))  # first chunks have no space before them
         table += self._whole(flat.take(pa.array(starts[:-1] - starts[0])).to_pylist())
         taken = pa.array(table, pa.large_binary()).take(pa.array(at))
