@@ -193,9 +193,10 @@ def compress(ids: np.ndarray, rounds: int = ROUNDS, min_count: int = MIN_COUNT,
         keys = (seq[:-1] << np.uint32(16)) | seq[1:]
         ordered = np.sort(keys)
         # a value that is as it was min_count - 1 places before is frequent
-        pairs = np.unique(ordered[min_count - 1 :][ordered[min_count - 1 :] == ordered[: len(ordered) - min_count + 1]])
+        pairs = ordered[min_count - 1 :][ordered[min_count - 1 :] == ordered[: len(ordered) - min_count + 1]]
         if not len(pairs):
             break
+        pairs = pairs[np.concatenate([[True], pairs[1:] != pairs[:-1]])]
         if len(pairs) > max_rules - made:
             counts = np.searchsorted(ordered, pairs, "right") - np.searchsorted(ordered, pairs, "left")
             pairs = np.sort(pairs[np.argsort(-counts, kind="stable")[: max_rules - made]])
@@ -211,7 +212,9 @@ def compress(ids: np.ndarray, rounds: int = ROUNDS, min_count: int = MIN_COUNT,
         run_start = at[np.flatnonzero(first)][np.cumsum(first) - 1]
         take = (at - run_start) % 2 == 0
         at, rank = at[take], rank[take]
-        used, rank = np.unique(rank, return_inverse=True)
+        met = np.zeros(len(pairs), bool)
+        met[rank] = True
+        used, rank = np.flatnonzero(met), (np.cumsum(met) - 1)[rank]
         new = np.stack([pairs[used] >> 16, pairs[used] & 0xFFFF], 1).astype(np.int64)
         seq[at] = (base + made + rank).astype(np.uint32)
         keep = np.ones(len(seq), bool)
