@@ -87,6 +87,31 @@ def test_tables_reach_the_recall_they_plan():
     assert k == 22 and 1 - (1 - hit) ** tables >= T.RECALL
 
 
+def test_a_text_between_hides_no_pair(spark, monkeypatch):
+    """Three in the same bucket of every table; by SHORT bits the middle one lies between two that are near."""
+    k, tables = T.plan(3, 0.8)
+    rng = np.random.default_rng(11)
+    sorted_by = {int(i) for _ in range(tables) for i in rng.choice(np.arange(T.SHORT, T.BITS), k, replace=False)}
+    free = [i for i in range(T.SHORT, T.BITS) if i not in sorted_by]
+    bits = np.zeros((3, T.BITS), np.uint8)
+    bits[1, [9, *free[:300]]] = 1  # far from both
+    bits[2, [*range(10), *free[300:400]]] = 1
+    fps = np.packbits(bits, axis=1, bitorder="little").view("<i8")
+    rows = spark.createDataFrame([(i, fps[i].tolist()) for i in range(3)], "id bigint, fp array<bigint>")
+    monkeypatch.setattr(T, "signatures", lambda *a: rows)
+    assert {r.doc_id: r.component_id for r in T.similar_components(None).collect()} == {0: 0, 1: 1, 2: 0}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_every_pair_of_a_bucket_is_met_once(seed):
+    rng = np.random.default_rng(seed)
+    key = np.sort(np.concatenate([rng.integers(0, 50, 200), np.full(T.SMALL * 3, 60), np.full(T.SMALL, 61), np.full(T.SMALL + 1, 62)]))
+    root = np.where(key == 60, rng.integers(0, 9, len(key)) ** 2 // 8, rng.integers(0, 1000, len(key)))
+    got = [(min(a, b), max(a, b)) for i, j in T.cross_pairs(key, root) for a, b in zip(i.tolist(), j.tolist(), strict=True)]
+    want = {(a, b) for a in range(len(key)) for b in range(a + 1, len(key)) if key[a] == key[b] and root[a] != root[b]}
+    assert len(got) == len(want) and set(got) == want
+
+
 def test_edges(spark):
     rows = brute.edge_rows()
     docs = spark.createDataFrame(rows, brute.DOCS)
