@@ -2,11 +2,14 @@
 
 Equal vectors of a label become one node with a count. A bounded sample places centroids per
 label; each node is at home in its nearest cluster and visits others whose centroid is nearly
-as near. Each shard builds a flat proximity graph with robust pruning; the adjacency lists
-of all shards are united per node. Search then walks, in every home shard, from the nearest
+as near. Each shard builds a flat proximity graph with robust pruning, from each node's nearest
+members and apart from those from members at random: where a dense group fills all nearest places, the
+latter alone lead out of it. The adjacency lists of all shards are united per node. Search then walks, in every home shard, from the nearest
 medoids by best-first steps and widens through nodes within range of the threshold; what it
 finds is verified by cosine in double precision. A sample of nodes is audited against all
-nodes of their label; below ``want_recall`` the overlap and beam are doubled and it runs again.
+nodes of their label; below ``want_recall`` the overlap, the beam and the random members are doubled
+and it runs again. Where that does not help either, each shard is scanned in full, with an
+overlap of twice the threshold's angle: by the triangle inequality every pair then meets.
 
 A shard returns a count and its class's least member per node, not its pairs, so dense
 groups stay linear in output. A shard holds its members in memory: 4 * dim bytes each.
@@ -30,6 +33,7 @@ SHARD = 2048
 MAX_CLUSTERS = 4096
 OVERLAP = 0.2  # radians beyond the angle to the nearest centroid
 DEGREE, CANDIDATES, PRUNE = 20, 48, 1.2
+FAR_DEGREE, FAR_CANDIDATES = 12, 48  # members at random
 BEAM = 24
 SLACK = 0.03
 AUDIT = 64
@@ -54,10 +58,27 @@ def centroids(x: np.ndarray, k: int, seed: int = 3, rounds: int = 8) -> np.ndarr
     return c
 
 
-def build(x: np.ndarray) -> np.ndarray:
-    """(n, DEGREE) neighbours by robust pruning of the nearest candidates; -1 pads."""
-    n = len(x)
-    out = np.full((n, DEGREE), -1, np.int64)
+def _pruned(x: np.ndarray, cand: np.ndarray, s: np.ndarray, degree: int) -> np.ndarray:
+    """(rows, degree) of the candidates, nearest first, without those that a chosen one is nearer to; -1 pads."""
+    order = np.argsort(-s, axis=1, kind="stable")
+    cand, s = np.take_along_axis(cand, order, 1), np.take_along_axis(s, order, 1)
+    among = np.einsum("bid,bjd->bij", x[cand], x[cand])
+    alive, pick, out = s > -9, np.arange(len(cand)), np.full((len(cand), degree), -1, np.int64)
+    for d in range(degree):
+        first = alive.argmax(1)
+        some = alive[pick, first]
+        if not some.any():
+            break
+        out[some, d] = cand[pick, first][some]
+        alive &= PRUNE * (1 - among[pick, first]) > 1 - s
+        alive[pick, first] = False
+    return out
+
+
+def build(x: np.ndarray, far: int = FAR_CANDIDATES, seed: int = 5) -> np.ndarray:
+    """(n, DEGREE + FAR_DEGREE) neighbours by robust pruning of the nearest candidates and of ``far`` random ones; -1 pads."""
+    n, rng = len(x), np.random.default_rng(seed)
+    out = np.full((n, DEGREE + FAR_DEGREE), -1, np.int64)
     c = min(CANDIDATES, n - 1)
     if c < 1:
         return out
@@ -67,19 +88,10 @@ def build(x: np.ndarray) -> np.ndarray:
         sim = x[rows] @ x.T
         sim[np.arange(len(rows)), rows] = -9
         cand = np.argpartition(-sim, c - 1, axis=1)[:, :c]
-        s = np.take_along_axis(sim, cand, 1)
-        order = np.argsort(-s, axis=1, kind="stable")
-        cand, s = np.take_along_axis(cand, order, 1), np.take_along_axis(s, order, 1)
-        among = np.einsum("bid,bjd->bij", x[cand], x[cand])
-        alive, pick = np.ones(cand.shape, bool), np.arange(len(rows))
-        for d in range(DEGREE):
-            first = alive.argmax(1)
-            some = alive[pick, first]
-            if not some.any():
-                break
-            out[rows[some], d] = cand[pick, first][some]
-            alive &= PRUNE * (1 - among[pick, first]) > 1 - s
-            alive[pick, first] = False
+        out[rows, :DEGREE] = _pruned(x, cand, np.take_along_axis(sim, cand, 1), DEGREE)
+        if n - 1 > c:
+            cand = rng.integers(0, n, (len(rows), far))
+            out[rows, DEGREE:] = _pruned(x, cand, np.take_along_axis(sim, cand, 1), FAR_DEGREE)
     return out
 
 
@@ -180,6 +192,17 @@ def search(x: np.ndarray, adjacent: Graph, queries: np.ndarray, threshold: float
             fq, fn = np.concatenate(next_q), np.concatenate(next_n)
 
 
+def scan(x: np.ndarray, queries: np.ndarray, threshold: float):
+    """As ``search``, by comparison with every member."""
+    f = x.astype(np.float32)
+    for at in range(0, len(queries), BLOCK):
+        q = queries[at : at + BLOCK]
+        for i in range(0, len(x), 1 << 13):
+            a, b = np.nonzero(f[q] @ f[i : i + (1 << 13)].T >= threshold - 1e-3)
+            for k in range(0, len(a), 1 << 16):
+                yield from _verified(x, q[a[k : k + (1 << 16)]], i + b[k : k + (1 << 16)], threshold)
+
+
 def _verified(x, a, b, threshold):
     ok = (a != b) & (np.einsum("ij,ij->i", x[a], x[b]) >= threshold)
     if ok.any():
@@ -231,16 +254,21 @@ def _assign(nodes: DataFrame, sample: int, shard: int, overlap: float) -> DataFr
     return nodes.select("node", "label", "dim", "vector", "n").mapInArrow(run, "shard string, node bigint, home boolean, vector array<float>, n bigint")
 
 
-def _adjacency(table):
-    import pyarrow as pa
+def _builder(far: int):
+    def run(table):
+        import pyarrow as pa
 
-    node, order = table.column("node").to_numpy(), np.argsort(table.column("node").to_numpy())
-    x = unit(_matrix(table.column("vector")))[order]
-    node, adjacent = node[order], build(x)
-    return pa.table({"node": pa.array(node), "near": pa.array([node[a[a >= 0]].tolist() for a in adjacent], pa.list_(pa.int64()))})
+        node, order = table.column("node").to_numpy(), np.argsort(table.column("node").to_numpy())
+        x = unit(_matrix(table.column("vector")))[order]
+        node, adjacent = node[order], build(x, far)
+        return pa.table({"node": pa.array(node), "near": pa.array([np.unique(node[a[a >= 0]]).tolist() for a in adjacent], pa.list_(pa.int64()))})
 
+    return run
+
+
+def _searcher(threshold: float, beam: int | None):
+    """Links and classes in a shard, by search of the graph; by comparison with every member, if there is no beam."""
 
-def _searcher(threshold: float, beam: int):
     def run(table):
         import pyarrow as pa
 
@@ -248,13 +276,17 @@ def _searcher(threshold: float, beam: int):
         table = table.take(pa.array(order))
         node, home, n = (table.column(c).to_numpy() for c in ("node", "home", "n"))
         x = unit(_matrix(table.column("vector")))
-        lists = table.column("near").combine_chunks()
-        i, to = np.repeat(np.arange(len(node)), lists.value_lengths().to_numpy(zero_copy_only=False)), lists.flatten().to_numpy(zero_copy_only=False)
-        j = np.minimum(np.searchsorted(node, to), len(node) - 1)
-        here = node[j] == to
-        adjacent = Graph.undirected(i[here], j[here], len(node))
+        queries = np.flatnonzero(home)
+        if beam is None:
+            pairs = scan(x, queries, threshold)
+        else:
+            lists = table.column("near").combine_chunks()
+            i, to = np.repeat(np.arange(len(node)), lists.value_lengths().to_numpy(zero_copy_only=False)), lists.flatten().to_numpy(zero_copy_only=False)
+            j = np.minimum(np.searchsorted(node, to), len(node) - 1)
+            here = node[j] == to
+            pairs = search(x, Graph.undirected(i[here], j[here], len(node)), queries, threshold, beam)
         label, links = np.arange(len(node)), np.zeros(len(node), np.int64)
-        for a, b in search(x, adjacent, np.flatnonzero(home), threshold, beam):
+        for a, b in pairs:
             np.add.at(links, a, n[b])
             merge_labels(label, a, b)
         return pa.table({"node": pa.array(node), "links": pa.array(links, mask=~home), "root": pa.array(node[label])})
@@ -303,16 +335,20 @@ def near_duplicates(
     usable = rows.where(F.col("label").isNotNull() & e.isNotNull() & finite)
     nodes = usable.groupBy("label", "vector").agg(F.count("*").alias("n"), F.min("vec_id").alias("least"))
     nodes = stored(nodes.select(F.monotonically_increasing_id().alias("node"), "label", F.size("vector").alias("dim"), "vector", "n", "least"), "vectors")
-    recall = 0.0
+    recall, far, linked_as = 0.0, FAR_CANDIDATES, "node bigint, links bigint, root bigint"
     for _ in range(attempts):
         members = stored(_assign(nodes, sample, shard, overlap), "vector-shards")
-        adjacency = members.groupBy("shard").applyInArrow(_adjacency, "node bigint, near array<bigint>")
+        adjacency = members.groupBy("shard").applyInArrow(_builder(far), "node bigint, near array<bigint>")
         united = stored(adjacency.groupBy("node").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("near")))).alias("near")), "vector-graph")
-        found = stored(members.join(united, "node").groupBy("shard").applyInArrow(_searcher(threshold, beam), "node bigint, links bigint, root bigint"), "vector-links")
+        found = stored(members.join(united, "node").groupBy("shard").applyInArrow(_searcher(threshold, beam), linked_as), "vector-links")
         recall = _audit(nodes, found, threshold, AUDIT)
         if recall >= want_recall:
             break
-        overlap, beam = 2 * overlap, 2 * beam
+        overlap, beam, far = 2 * overlap, 2 * beam, 2 * far
+    else:
+        members = stored(_assign(nodes, sample, shard, 2 * float(np.arccos(threshold)) + 1e-6), "vector-shards")
+        found = stored(members.groupBy("shard").applyInArrow(_searcher(threshold, None), linked_as), "vector-links")
+        recall = _audit(nodes, found, threshold, AUDIT)
     roots = connected_components(found.where("root <> node").select(F.col("root").alias("a"), F.col("node").alias("b")), "vectors")
     classes = nodes.select("node", "label", "vector", "n", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     component = classes.groupBy("root").agg(F.min("least").alias("component_id"))

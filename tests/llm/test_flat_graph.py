@@ -53,6 +53,33 @@ def test_table_matches_all_pairs(spark):
     assert {r.vec_id: (r.n_links, r.component_id) for r in G.near_duplicates(df).collect()} == all_pairs(rows)
 
 
+def test_dense_groups_find_each_other():
+    """Two groups of 200, cosine about 0.998 inside and 0.95 between, among 1,600 others."""
+    rng = np.random.default_rng(4)
+    a = G.unit(rng.normal(size=(1, 64)))
+    side = rng.normal(size=(1, 64))
+    side = G.unit(side - (side @ a.T) * a)
+    near = lambda c: G.unit(c + rng.normal(size=(200, 64)) * 0.0055)
+    x = np.concatenate([near(a), near(0.95 * a + (1 - 0.95**2) ** 0.5 * side), G.unit(rng.normal(size=(1600, 64)))])
+    x = x[rng.permutation(len(x))]
+    true = x @ x.T >= 0.93
+    np.fill_diagonal(true, False)
+    assert true.sum() > 0.9 * 400 * 399
+    lists = G.build(x)
+    i, d = np.nonzero(lists >= 0)
+    found = np.zeros_like(true)
+    for p, q in G.search(x, G.Graph.undirected(i, lists[i, d], len(x)), np.arange(len(x)), 0.93):
+        found[p, q] = True
+    assert not (found & ~true).any() and found.sum() >= 0.99 * true.sum()
+
+
+def test_recall_that_falls_short_is_made_good(spark, vectors, monkeypatch):
+    monkeypatch.setattr(G, "_audit", lambda *a: 0.5)
+    df = spark.createDataFrame(vectors, "vec_id bigint, embedding array<float>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in G.near_duplicates(df, shard=32, attempts=1, beam=1, overlap=0.0).collect()}
+    assert got == all_pairs(vectors)
+
+
 def test_edges(spark):
     nan, inf = float("nan"), float("inf")
     rows = [
