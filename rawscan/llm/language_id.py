@@ -2,6 +2,8 @@
 
 log P(l | row) = tempered text likelihood + log P(declared | l) + log P(suffix | l) + log P(l | host)
 
+The suffix is given by a column, or else is the last label of a host that is an address.
+
 Text: a hashed character-trigram model per language, fitted on at most ``per_language``
 whole documents of each declared language (those with the least id hashes: one per language
 and hash bucket, with any rows that repeat its id). All of every text is scored; the sum is divided by the square
@@ -100,16 +102,22 @@ def _evidence(known: Column, languages: tuple[str, ...], right: float) -> Column
     return F.when(known.isin(*languages), given).otherwise(F.array(*[F.lit(0.0)] * (len(languages) + 1)))
 
 
+def host_suffix(host: Column) -> Column:
+    """Last label of a host with a dot, whatever port or path follows; '' for other names."""
+    return F.regexp_extract(F.lower(host), r"^(?:[a-z][a-z0-9+.-]*://)?[^/?#:]*\.([a-z]+)\.?(?:[:/?#]|$)", 1)
+
+
 def identify(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", declared_col: str = "lang", host_col: str | None = "source", suffix_col: str | None = None,
     languages: tuple[str, ...] = LANGUAGES, per_language: int = PER_LANGUAGE, alpha: float = ALPHA,
 ) -> DataFrame:
     """(doc_id, text_hash, text_lang, lang_id, posterior, kept) per row."""
     table = fit(training_counts(docs, id_col, text_col, declared_col, languages, per_language))
-    none = F.lit(None).cast("string")
+    host = F.coalesce(F.col(host_col).cast("string") if host_col else F.lit(None).cast("string"), F.lit(""))
+    suffix = F.coalesce(F.col(suffix_col).cast("string"), F.lit("")) if suffix_col else host_suffix(host)
     rows = docs.select(
         F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(declared_col).cast("string").alias("declared"),
-        F.coalesce(F.col(host_col).cast("string") if host_col else none, F.lit("")).alias("host"), F.coalesce(F.col(suffix_col).cast("string") if suffix_col else none, F.lit("")).alias("suffix"),
+        host.alias("host"), suffix.alias("suffix"),
         text_or_empty(text_col).alias("text"),
     )
 
@@ -166,3 +174,9 @@ def page_evidence(pages: DataFrame) -> DataFrame:
 
 def op3_language_id(spark, sf_dir):
     return identify(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("text_hash")
+
+
+def language_id_pages(spark, sf_dir):
+    """As ``op3_language_id``, of pages: the operator on rows with markup language, host and suffix."""
+    out = identify(page_evidence(spark.read.parquet(f"{sf_dir}/pages.parquet")), suffix_col="suffix").drop("text_hash")
+    return out.withColumnRenamed("doc_id", "page_id")

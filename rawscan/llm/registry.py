@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from . import line_spread
 from .decontaminate import op10_decontaminate
 from .flat_graph import op7_flat_graph
-from .language_id import op3_language_id
+from .language_id import language_id_pages, op3_language_id
 from .line_spread import op9_line_spread
 from .pii import op5_pii
 from .secrets import op1_secrets
@@ -36,6 +36,7 @@ QUERIES = {
     "op1_secrets": op1_secrets,
     "op2_sentencepiece": op2_digest,
     "op3_language_id": op3_language_id,
+    "language_id_pages": language_id_pages,
     "op4_url_rules": op4_url_rules,
     "op5_pii": op5_pii,
     "op6_simhash": op6_simhash,

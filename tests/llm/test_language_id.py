@@ -59,6 +59,25 @@ def test_pages(spark):
     assert agree > 0.95
 
 
+def test_suffix_tips_the_language(spark):
+    """Rows without text or declaration, by the suffix of their host; more texts are English."""
+    text = {"en": "the cat sat on the mat and the dog ran", "de": "die Katze lag auf der Matte und der Hund lief"}
+    rows = [(i, text["en"] * 3, "en", f"a{i}", 0) for i in range(8)] + [(10 + i, text["de"] * 3, "de", f"b{i}", 0) for i in range(6)]
+    hosts = {20: "new.example.de", 21: "https://new.example.DE:80/x.fr", 22: "new.example.net", 23: "de", 24: None}
+    rows += [(i, None, None, host, 0) for i, host in hosts.items()]
+    out = {r.doc_id: r.lang_id for r in L.identify(spark.createDataFrame(rows, brute.DOCS)).collect()}
+    assert {i: out[i] for i in hosts} == {20: "de", 21: "de", 22: "en", 23: "en", 24: "en"}
+
+
+def test_pages_are_registered_with_their_suffix(spark):
+    import __spark_entry__ as E
+
+    pages = spark.read.parquet(f"{brute.SF}/pages.parquet")
+    want = {tuple(r) for r in L.identify(L.page_evidence(pages), suffix_col="suffix").drop("text_hash").collect()}
+    got = E.queries()["language_id_pages"](spark, brute.SF)
+    assert got.columns[0] == "page_id" and {tuple(r) for r in got.collect()} == want and got.count() == pages.count()
+
+
 def test_edges(spark):
     rows = brute.edge_rows()
     docs = spark.createDataFrame(rows, brute.DOCS)
