@@ -22,21 +22,38 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame, tag: str) -> DataFrame:
-    """``df`` written to the shared folder and read again: lineage is cut, lost executors cost nothing."""
-    return _stored(df, tag)[0]
+    """``df`` written to the shared folder and read again: lineage is cut, lost executors cost nothing.
 
+    The table goes when the driver's JVM ends, or sooner by ``discard``."""
+    return placed(df, tag)[0]
 
-def _stored(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
+
+def placed(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
+    """As ``stored``, and the table's path."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
+    path = temporary(spark, tag)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
-def _discard(spark: SparkSession, path: str) -> None:
-    """Removes a stored table that nothing reads any more."""
+def temporary(spark: SparkSession, tag: str) -> str:
+    """A new path in the shared folder, removed when the driver's JVM ends."""
+    path = f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
+    at, files = _file_system(spark, path)
+    files.deleteOnExit(at)
+    return path
+
+
+def _file_system(spark: SparkSession, path: str):
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Removes stored tables that nothing reads any more."""
+    for path in paths:
+        at, files = _file_system(spark, path)
+        files.delete(at, True)
 
 
 def unused(df: DataFrame, name: str) -> str:
@@ -59,22 +76,27 @@ def text_or_empty(text: str) -> Column:
 
 
 def connected_components(edges: DataFrame, tag: str, max_rounds: int = 60) -> DataFrame:
-    """(node, root) for the nodes of ``edges`` (a, b: bigint); root is the least node reachable.
+    """(node, root) for the nodes of ``edges`` (a, b: of one orderable type); root is the least node reachable.
 
     Each round takes the least label among neighbours, then lets every node take its
-    label's label. State stays in tables; only a count of changes reaches the driver.
-    Skewed hubs are split by adaptive skew joins; least labels combine before the shuffle.
+    label's label; the reach of a label doubles or better in a round, so rounds grow with the logarithm of a
+    component's diameter. Labels that have not settled after ``max_rounds`` are an error, never a result.
+    State stays in tables; only whether anything changed reaches the driver. Labels are stored before they meet
+    their labels' labels: both sides of that join, as of the join with the edges, then come straight from a shuffle
+    that adaptive execution splits where many nodes have one root. Least labels combine before the shuffle.
     """
-    both = stored(edges.select("a", "b").where("a <> b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")).where("a <> b")).distinct(), f"{tag}-edges")
-    labels, path = _stored(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root")), f"{tag}-labels")
+    spark = edges.sparkSession
+    both, edges_path = placed(edges.select("a", "b").where("a <> b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")).where("a <> b")).distinct(), f"{tag}-edges")
+    labels, path = placed(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root")), f"{tag}-labels")
     for _ in range(max_rounds):
         near = both.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("m"))
-        better = labels.join(near, "node").select("node", F.col("root").alias("was"), F.least("root", "m").alias("root"))
+        better, between = placed(labels.join(near, "node").select("node", F.col("root").alias("was"), F.least("root", "m").alias("root")), f"{tag}-near")
         jump = better.select(F.col("node").alias("root"), F.col("root").alias("next"))
-        after, new = _stored(better.join(jump, "root", "left").select("node", "was", F.least("root", F.coalesce("next", "root")).alias("root")), f"{tag}-labels")
-        _discard(edges.sparkSession, path)
+        after, new = placed(better.join(jump, "root", "left").select("node", "was", F.least("root", F.coalesce("next", "root")).alias("root")), f"{tag}-labels")
+        discard(spark, path, between)
         labels, path = after.select("node", "root"), new
         if after.where("was <> root").isEmpty():
+            discard(spark, edges_path)
             return labels
     raise RuntimeError("components did not settle")
 
