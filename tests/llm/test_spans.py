@@ -39,6 +39,33 @@ def test_secret_ownership_separates_examples(spark):
     assert got[0] == ("", 0, 1) and got[9] == ("prefixed:0:24", 1, 0) and got[10][1] == 1
 
 
+def test_owners_and_repositories_disagree(spark):
+    """One owner with many repositories is live-looking; two owners with many are not."""
+    own, forked, shared = "ghp_" + "a1" * 10, "ghp_" + "b2" * 10, "ghp_" + "c3" * 10
+    rows = [(i, own, "one", f"r{i}") for i in range(9)] + [(100 + i, forked, f"o{i % 2}", f"f{i}") for i in range(9)] + [(200 + i, shared, f"o{i}", f"s{i}") for i in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, repo string")
+    from pyspark.sql import functions as F
+
+    got = {r.doc_id: (r.spans != "", r.n_live, r.n_example, r.most_owners, r.most_repositories) for r in secrets.scan(docs, repository=F.col("repo")).collect()}
+    assert got[0] == (True, 1, 0, 1, 9) and got[100] == (False, 0, 1, 2, 9) and got[200] == (True, 1, 0, 2, 2)
+
+
+def test_random_keys_are_added(spark):
+    key = "aB3xK9mQ2vL7nR4tY8wE1zU6"
+    docs = spark.createDataFrame([(1, f"use {key}, not {key.lower()} or 12345678901234567890123456", "o", 0)], "doc_id bigint, text string, source string, n int")
+    assert secrets.scan(docs).first().spans == "mixed:4:28"
+
+
+def test_spans_of_long_texts_take_linear_time(spark):
+    import time
+
+    text = " ".join(["0123456789abcdef" * 2] * 100_000)
+    docs = spark.createDataFrame([(1, text, "o")], "doc_id bigint, text string, source string")
+    begun = time.perf_counter()
+    got = secrets.scan(docs).first()
+    assert got.n_hex == 100_000 and got.base_sha256 == brute.digest(brute.secret_spans(text)) and time.perf_counter() - begun < 60
+
+
 def test_pii_matches_plain_patterns(spark):
     docs = spark.read.parquet(f"{brute.SF}/documents.parquet").select("doc_id", "text")
     docs = docs.unionAll(spark.createDataFrame([(1_000_000 + i, t) for i, t in enumerate(TRICKY)], "doc_id bigint, text string"))
