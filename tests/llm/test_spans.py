@@ -1,5 +1,7 @@
 """Secrets and personal data against plain regular expressions."""
 
+import re
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -81,6 +83,7 @@ def test_pii_matches_plain_patterns(spark):
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet="ab1.2@+- ()%9_\n", max_size=60))
 def test_pii_base_spans(text):
+    assert not (pii.base_spans(text) or pii.candidates(text, [])) or re.search(pii.ANY, text)
     names = dict(enumerate(pii.BASE))
     assert [(a, r, names[r], b) for a, r, b in pii.base_spans(text)] == sorted(brute.pii_spans(text))
 
@@ -90,13 +93,56 @@ def test_long_digit_runs_are_linear():
 
 
 def test_em_finds_reliable_labelers():
-    key = lambda k, a, b, c: ((k * 3 + a) * 3 + b) * 9 + c * 3
+    key = lambda k, *v: pii.pack(k, v)
     counts = {key(4, 1, 1, 1): 500, key(4, 1, 0, 1): 20, key(4, 0, 0, 2): 700, key(4, 0, 1, 2): 15, key(4, 1, 1, 2): 90}
-    posterior, _ = pii.reliabilities(counts)
+    posterior, table = pii.reliabilities(counts)
     assert posterior[key(4, 1, 1, 1)] > 0.9 > 0.1 > posterior[key(4, 0, 0, 2)]
-    good = pii.accepted(counts)
-    assert key(4, 1, 1, 1) in good and key(4, 0, 0, 2) not in good
-    assert pii.accepted({}) == []
+    assert table[4, 0, 1] > 0.9 and table[4, 0, 0] < 0.1  # the first labeler's votes in this kind, personal or not
+    assert all(pii.unpack(pii.pack(k, v)) == (k, v) for k in range(6) for v in ((0, 1, 2), (2, 2, 2)))
+
+
+def test_planted_spans_are_told_from_decoys(spark):
+    """Labelers abstain and err; the classifier's spans against the plants, end to end."""
+    import random
+
+    rng, rows, want = random.Random(7), [], {}
+    word = lambda: rng.choice("river stone cloud early green winter paper window table".split())
+    digits = lambda n: "".join(rng.choices("23456789", k=n))
+    for i in range(900):
+        kind, good = rng.choice(["tel", "account", "name"]), rng.random() < 0.5
+        if kind == "tel":
+            s = f"{digits(3)}-{digits(3)}-{digits(4)}" if good else f"{rng.choice('01')}{digits(2)}-{rng.choice('01')}{digits(2)}-{digits(4)}"
+            cue = rng.choice(["tel", "phone", "call me at"]) if good and rng.random() < 0.8 else rng.choice(["order", "part", "serial"]) if not good and rng.random() < 0.8 else word()
+        elif kind == "account":
+            s = digits(16) if good else digits(rng.choice([11, 13, 20]))
+            while good and pii.luhn(s):
+                s = digits(16)
+            if not good and 12 <= len(s) <= 19 and pii.luhn(s):
+                s = s[:-1] + ("2" if s[-1] != "2" else "3")
+            cue = "card" if good and rng.random() < 0.8 else "invoice" if not good and rng.random() < 0.8 else word()
+        else:
+            s = f"Dr. {rng.choice(['Anna', 'Peter', 'Zorba'])} {rng.choice(['Miller', 'Weber'])}" if good else "Dr. Street"
+            cue = "contact" if good and rng.random() < 0.7 else word()
+        head = f"{word()} {word()} {cue} "
+        rows.append((i, f"{head}{s} {word()} {word()}"))
+        want[i] = f"{kind}:{len(head)}:{len(head) + len(s)}" if good else ""
+    got = {r.doc_id: r.spans for r in pii.scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    hits, found, planted = sum(got[i] == w != "" for i, w in want.items()), sum(s != "" for s in got.values()), sum(w != "" for w in want.values())
+    wrong = [(got[i], want[i], rows[i][1]) for i in want if got[i] != want[i]]
+    assert hits >= 0.9 * found and hits >= 0.9 * planted, wrong[:20]
+
+
+def test_the_table_has_added_spans(spark):
+    out = pii.scan(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    assert sum(r.n_added for r in out.select("n_added").collect()) > 0
+
+
+def test_candidates_vote_both_ways_and_abstain():
+    base = pii.base_spans("a@b.cd 2345678901234567")
+    got = {text: pii.candidates(text, pii.base_spans(text)) for text in ("a@b.cd 2345678901234567", "order 2345678901234567", "x 000-12-3456", "4111 1111 1111 1111")}
+    assert [c[3:6] for c in got["a@b.cd 2345678901234567"]] == [(1, 2, 1)] and base[0][:2] == (0, 0)
+    assert [c[5] for c in got["order 2345678901234567"]] == [0] and [c[3:6] for c in got["x 000-12-3456"]] == [(0, 2, 2)]
+    assert got["4111 1111 1111 1111"] == []  # a base span already
 
 
 @pytest.mark.parametrize("scan", [secrets.scan, pii.scan])
