@@ -75,11 +75,60 @@ def test_dense_groups_find_each_other():
 
 def test_recall_that_falls_short_is_made_good(spark, vectors, monkeypatch):
     monkeypatch.setattr(G, "_audit", lambda *a: 0.5)
+    monkeypatch.setattr(G, "BLOCK_ROWS", 100)
     df = spark.createDataFrame(vectors, "vec_id bigint, embedding array<float>, label int")
     got = {r.vec_id: (r.n_links, r.component_id) for r in G.near_duplicates(df, shard=32, attempts=1, beam=1, overlap=0.0).collect()}
     assert got == all_pairs(vectors)
 
 
+def test_balls_cover_all_within_their_radius():
+    rng = np.random.default_rng(3)
+    x = G.unit(np.concatenate([rng.normal(size=(1, 24)) + rng.normal(size=(900, 24)) * 0.08, rng.normal(size=(400, 24))]))
+    leader, angle = G.cover(x, 0.18)
+    assert (leader[leader] == leader).all() and (angle <= 0.18 + 1e-5).all() and (angle[leader == np.arange(len(x))] == 0).all()
+    assert (np.arccos(np.clip((x * x[leader]).sum(1), -1, 1)) <= angle + 1e-7).all() and len(np.unique(leader)) < 500
+
+
+def test_balls_of_several_groups_and_undecided_pairs(spark, monkeypatch):
+    """Small groups, so that leaders are covered again; two clouds as far apart as the threshold, in blocks."""
+    monkeypatch.setattr(G, "GROUP", 60)
+    monkeypatch.setattr(G, "BLOCK_ROWS", 50)
+    rng = np.random.default_rng(8)
+    a = G.unit(rng.normal(size=(1, 16)))
+    side = rng.normal(size=(1, 16))
+    side = G.unit(side - (side @ a.T) * a)
+    x = np.concatenate([G.unit(c + rng.normal(size=(150, 16)) * 0.03) for c in (a, 0.93 * a + (1 - 0.93**2) ** 0.5 * side)])
+    rows = [(i, [float(v) for v in np.float32(r)], 0) for i, r in enumerate(x)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in G.near_duplicates(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int")).collect()}
+    assert got == all_pairs(rows)
+
+
+def test_clusters_are_split_without_a_cap(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.range(6000).select("id", F.lit("r").alias("root"), F.array(*[F.randn(k + 1).cast("float") for k in range(8)]).alias("vector"))
+    rows = G.stored(rows, "test-vectors")
+    clusters = G._clusters(rows, 20)
+    sizes = [r["n"] for r in G._deal(rows, clusters, 0.0).groupBy("shard").agg(F.count("*").alias("n")).collect()]
+    assert max(sizes) <= 40 and sum(sizes) == 6000 and max(k.count(".") for k in clusters.centres) >= 1
+
+
+def test_a_large_dense_group_takes_no_pairs(spark):
+    import time
+
+    rng = np.random.default_rng(6)
+    c = rng.normal(size=32)
+    x = np.float32(np.concatenate([c + rng.normal(size=(20_000, 32)) * 0.05, rng.normal(size=(500, 32))]))
+    import pandas as pd
+
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": range(len(x)), "embedding": x.tolist(), "label": 0}))
+    begun = time.perf_counter()
+    out = G.near_duplicates(df).toPandas()
+    assert time.perf_counter() - begun < 60
+    group = out[out.vec_id < 20_000]
+    assert (group.component_id == 0).all() and (group.n_links >= 19_999).all() and (out[out.vec_id >= 20_000].n_links == 0).mean() > 0.99
+
+
 def test_edges(spark):
     nan, inf = float("nan"), float("inf")
     rows = [
