@@ -1,18 +1,23 @@
 """SimHash near-duplicates found exactly through a vantage-point tree over Hamming space.
 
-A small tree of (vantage point, radius) nodes, built from a bounded sample of the
-distinct fingerprints, deals them to shards by Hamming distance. A fingerprint lives in
+A tree of (vantage point, radius) nodes deals the distinct fingerprints to shards by Hamming
+distance. It grows by size, to any depth: a shard at home to too many is split again, by vantage points
+from a bounded sample of its own, until none is left that a vantage point can split; a row per tree node
+reaches the driver. A fingerprint lives in
 one leaf and also visits every leaf whose side of a boundary lies within the search
 radius, by the triangle inequality; so each close pair meets in a shard. Within a shard
 the same pruning goes on until blocks are small, then XOR and popcount decide. A shard
 returns a star per class it found, not its pairs, so output stays linear in dense groups.
 
 Cost: in uniform Hamming space a boundary band of +-3 bits holds about half of all
-fingerprints, so each level multiplies visits by about 1.5 while it halves the homes.
+fingerprints, so each level multiplies visits by about 1.5 while it halves the homes: n
+fingerprints make about (n / shard) ** 0.6 visits each. Shards hold 9 bytes a visit in memory.
 
 Defined results: a null text counts as empty; texts without words have fingerprint 0 and
-link like any other; repeated rows each give a row; a null id gives a row and is never
-chosen as component id unless the class has no other (then null); extra columns are ignored.
+link like any other; texts of any length count with all their words; repeated rows each give a row; ids keep their
+type, ties go to the least; a null id gives a row and is never
+chosen as component id unless the class has no other (then null); an empty table gives an
+empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,10 +31,10 @@ from pyspark.sql import functions as F
 
 from .common import connected_components, merge_labels, slices, stored, text_or_empty
 
-SAMPLE = 16384  # distinct fingerprints that shape the tree
+SAMPLE = 16384  # distinct fingerprints of a shard that its split is chosen by
+LEVELS = 8  # tree levels that are grown from one sample
 HOMES = 65536  # wanted fingerprints at home in a shard
 SHARDS = 48  # wanted shards at least, for parallelism, where there are rows enough
-MAX_DEPTH = 12
 PAIRS_AT_ONCE = 1 << 21
 
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
@@ -70,22 +75,24 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fps = np.array([fingerprint(t, words, seed) for t in b.column(1).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], ["id", "fp"])
 
-    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), text_or_empty(text_col).alias("text"))
-    return rows.mapInArrow(run, "id bigint, fp bigint")
+    rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
+    return rows.mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, fp bigint")
 
 
 @dataclass
 class Tree:
-    """Arrays over nodes; child < 0 is shard -child - 1."""
+    """Arrays over nodes; child < 0 is shard -child - 1; a shard that was split again is empty."""
 
     point: list
     radius: list
     left: list
     right: list
     shards: int
+    root: int = -1
 
     @staticmethod
     def build(sample: np.ndarray, depth: int, band: int, seed: int = 7) -> Tree:
+        """From a sample, with shards of eight of it at least."""
         rng, t = np.random.default_rng(seed), Tree([], [], [], [], 0)
 
         def grow(x: np.ndarray, left: int) -> int:
@@ -103,11 +110,26 @@ class Tree:
             t.right[me] = grow(x[~near], left - 1)
             return me
 
-        grow(sample, depth)
+        t.root = grow(sample, depth)
         return t
 
+    def graft(self, trees: dict[int, Tree]) -> None:
+        """Puts each tree in the place of its shard; their shards are numbered after the own ones."""
+        new, points, radii, left, right = {}, [], [], [], []
+        for shard, t in trees.items():
+            nodes, shards = len(self.point) + len(points), self.shards
+            moved = lambda c, nodes=nodes, shards=shards: c + nodes if c >= 0 else c - shards
+            new[-shard - 1] = moved(t.root)
+            points += t.point
+            radii += t.radius
+            left += [moved(c) for c in t.left]
+            right += [moved(c) for c in t.right]
+            self.shards += t.shards
+        self.point, self.radius, self.root = self.point + points, self.radius + radii, new.get(self.root, self.root)
+        self.left, self.right = [new.get(c, c) for c in self.left] + left, [new.get(c, c) for c in self.right] + right
+
     def route(self, x: np.ndarray, band: int):
-        """(shard, index into x, at home) arrays."""
+        """(shard, index into x, at home) arrays; with a band of -1, of homes only."""
         out = []
 
         def go(node: int, idx: np.ndarray, home: np.ndarray) -> None:
@@ -118,11 +140,11 @@ class Tree:
                 return
             d = np.bitwise_count(x[idx] ^ self.point[node]).astype(np.int16)
             r = self.radius[node]
-            near, far = d <= r + band, d > r - band
+            near, far = d <= r + max(band, 0), d > r - max(band, 0)
             go(self.left[node], idx[near], home[near] & (d[near] <= r))
             go(self.right[node], idx[far], home[far] & (d[far] > r))
 
-        go(0 if self.point else -1, np.arange(len(x)), np.ones(len(x), bool))
+        go(self.root, np.arange(len(x)), np.ones(len(x), bool))
         if not out:
             return np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, bool)
         return tuple(np.concatenate(c) for c in zip(*out, strict=True))
@@ -176,12 +198,54 @@ def link_shard(x: np.ndarray, home: np.ndarray, band: int) -> np.ndarray:
     return label
 
 
-def star_links(distinct: DataFrame, radius: int = 3) -> DataFrame:
+def grown_tree(distinct: DataFrame, homes: float, band: int, sample: int = SAMPLE, levels: int = LEVELS) -> Tree:
+    """A tree over ``fp`` whose shards are at home to ``homes`` fingerprints or not much more, unless no vantage point splits them."""
+    tree, settled = Tree([], [], [], [], 1), set()
+    while True:
+
+        def at_home(batches):
+            import pyarrow as pa
+
+            for b in batches:
+                shard, idx, _ = tree.route(b.column(0).to_numpy(zero_copy_only=False).view(np.uint64), -1)
+                yield pa.RecordBatch.from_arrays([pa.array(shard), b.column(0).take(pa.array(idx))], ["shard", "fp"])
+
+        dealt = distinct.select("fp").mapInArrow(at_home, "shard int, fp bigint")
+        large = {r.shard: r.n for r in dealt.groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > 1.5 * homes).collect() if r.shard not in settled}
+        if not large:
+            return tree
+
+        def thinned(batches):
+            import pyarrow as pa
+
+            for b in batches:
+                x = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+                shard, idx, _ = tree.route(x, -1)
+                every = np.array([math.ceil(large[k] / sample) if k in large else 0 for k in range(tree.shards)], np.uint64)[shard]
+                mix = x[idx] * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)
+                keep = (every > 0) & (mix % np.maximum(every, 1) == 0)
+                yield pa.RecordBatch.from_arrays([pa.array(shard[keep]), b.column(0).take(pa.array(idx[keep]))], ["shard", "fp"])
+
+        def split(table):
+            import pyarrow as pa
+
+            shard = table.column("shard")[0].as_py()
+            depth = min(levels, max(1, math.ceil(math.log2(large[shard] / homes))))
+            t = Tree.build(np.sort(table.column("fp").to_numpy()).view(np.uint64), depth, band)
+            point = np.array(t.point, np.uint64).view(np.int64)
+            row = {"shard": shard, "point": point.tolist(), "radius": t.radius, "left": t.left, "right": t.right, "shards": t.shards, "root": t.root}
+            return pa.Table.from_pylist([row], pa.schema([("shard", pa.int32()), *[(c, pa.list_(pa.int64())) for c in ("point", "radius", "left", "right")], ("shards", pa.int64()), ("root", pa.int64())]))
+
+        shape = "shard int, point array<bigint>, radius array<bigint>, left array<bigint>, right array<bigint>, shards bigint, root bigint"
+        found = distinct.select("fp").mapInArrow(thinned, "shard int, fp bigint").groupBy("shard").applyInArrow(split, shape).collect()
+        grafts = {r.shard: r for r in found if r.shards > 1}
+        settled |= large.keys() - grafts.keys()
+        tree.graft({k: Tree(list(np.array(r.point, np.int64).view(np.uint64)), list(r.radius), list(r.left), list(r.right), r.shards, r.root) for k, r in sorted(grafts.items())})
+
+
+def star_links(distinct: DataFrame, radius: int = 3, homes: float | None = None) -> DataFrame:
     """(a, b) links between distinct fingerprints ``fp`` whose classes equal those of all pairs within ``radius``."""
-    n = distinct.count()
-    sample = np.array([r.fp for r in distinct.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()], np.int64).view(np.uint64)
-    shards = max(n / HOMES, min(SHARDS, n / 1024), 1)
-    tree = Tree.build(sample, min(MAX_DEPTH, math.ceil(math.log2(shards))), radius)
+    tree = grown_tree(distinct, homes or max(1024, min(HOMES, distinct.count() / SHARDS)), radius)
 
     def deal(batches):
         import pyarrow as pa
@@ -208,7 +272,8 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     fps = stored(fingerprints(docs, id_col, text_col, words, seed), "simhash")
     distinct = stored(fps.groupBy("fp").agg(F.min("id").alias("least")), "simhash-distinct")
     roots = connected_components(star_links(distinct, radius), "simhash").select(F.col("node").alias("fp"), "root")
-    classes = distinct.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = classes.groupBy("root").agg(F.min("least").alias("component_id"))
-    component = classes.join(least, "root").select("fp", "component_id")
+    # stored, so that adaptive execution can split the joins with a root or a fingerprint that many have
+    classes = stored(distinct.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "simhash-classes")
+    least = stored(classes.groupBy("root").agg(F.min("least").alias("component_id")), "simhash-least")
+    component = stored(classes.join(least, "root").select("fp", "component_id"), "simhash-components")
     return fps.join(component, "fp").select(F.col("id").alias("doc_id"), "fp", "component_id")
