@@ -1,45 +1,48 @@
 """Token ids in a compact, randomly readable form: Re-Pair grammars per shard.
 
-Documents are dealt to shards by ranges of their id, so shard order is id order. Each
+Documents are dealt to shards by ranges of their id, so shard order is id order; there are as many
+shards as the text has SHARD_BYTES. Each
 shard is cut into blocks of whole documents; a block holds a grammar and its compressed
-sequence. Re-Pair works in rounds: every pair at least ``min_count`` times present gets a
-nonterminal and is replaced from left to right, then pairs of the result are counted
-again. Rules with their expansion lengths and the documents' token offsets are stored,
+sequence. Its ids are first numbered anew, by those it has. Re-Pair then works in rounds: every pair at least
+``min_count`` times present gets a nonterminal and is replaced from left to right, then pairs of the result are counted
+again, until no pair is left that often. MIN_COUNT is where a rule pays: it takes 12 bytes
+and each use saves 2. Rules with their expansion lengths and the documents' token offsets are stored,
 so one document is decoded by a search in the cumulated lengths, without the rest.
 
 The container is Parquet, written by Spark (retries and lost executors are its concern;
 any file system it knows will do): a row per block with the id range, counts, the
 document ids and lengths, and the payload:
 
-  magic "RPG1", u32 rules, u32 symbols, u8 width (2 or 4 bytes), then little-endian:
-  rules x (u32 left, u32 right), rules x u32 expansion length, symbols x uint(width)
+  magic "RPG2", u32 ids, u32 rules, u32 symbols, u8 width (2 or 4 bytes), then little-endian:
+  ids x u16, rules x (u32 left, u32 right), rules x u32 expansion length, symbols x uint(width)
 
-Nonterminal k has symbol BASE + k. A null text counts as empty; repeated and null ids are
-kept (null first); an empty table gives an empty file set.
+Symbol k is the k-th of the block's ids, or the nonterminal k - ids.
+
+Defined results: a null text counts as empty; texts of any length are encoded whole; document ids are integers; repeated and null ids are
+kept (null first, equal ids in any order); an empty table gives an empty file set; extra columns are ignored.
+A tokenizer file that splits texts otherwise than the encoder expects is refused.
 """
 
 from __future__ import annotations
 
 import re
 import struct
-import uuid
 import zlib
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_folder, slices, text_or_empty
+from .common import slices, temporary, text_or_empty
 
 _CUT = re.compile(r" (?=\S)")
 #: a space before white space or the end; a wide notion of white space only costs time
 _GAP_RE2 = r" ([\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|\z)"
 _WORD = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([\\n.,;:!?\"')*$%&#-].*)?", re.DOTALL)
-BASE = 50257  # symbols from here on are nonterminals
 BLOCK_TOKENS = 1 << 20
-ROUNDS = 4
-MIN_COUNT = 48
-MAX_RULES = 65536 - BASE  # symbols then fit two bytes
+SHARD_BYTES = 8 << 20
+MIN_COUNT = 7
+SPELT = 32  # a reader spells out rules up to this long once
 CACHE = 800_000  # some 200 bytes each
 BLOCK_SCHEMA = "shard int, block int, start bigint, n_tokens bigint, doc_ids array<bigint>, lengths array<bigint>, payload binary"
 
@@ -62,6 +65,7 @@ class CachedEncoder:
 
         self.tok, self.special = Tokenizer.from_buffer(blob), special
         self.model = self.tok.model
+        self._check(blob)
         size = self.tok.get_vocab_size()
         self.n_bytes = np.array([len(self.tok.id_to_token(i)) for i in range(size)])
         # the vocabulary's letter for each byte: printable ones stand for themselves, the others follow from 256 on
@@ -73,6 +77,18 @@ class CachedEncoder:
         self.cache: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
+    def _check(self, blob: bytes) -> None:
+        """The shortcuts hold for one way of splitting only, and for ids of 16 bits."""
+        import json
+
+        d = json.loads(blob)
+        split = d.get("pre_tokenizer") or {}
+        fits = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") and not d.get("normalizer") and d["model"].get("type") == "BPE"
+        fits = fits and not d["model"].get("dropout") and not d["model"].get("continuing_subword_prefix") and not d["model"].get("end_of_word_suffix") and not d["model"].get("ignore_merges")
+        added = {t["content"] for t in d.get("added_tokens", ())}
+        if not fits or added != set(self.special) or self.tok.get_vocab_size() > 65536 or d.get("truncation") or d.get("padding"):
+            raise ValueError("not a byte-level BPE tokenizer that this encoder knows: it needs the plain byte-level splitter, no normalizer, no added tokens but " + ", ".join(self.special))
+
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, np.uint16).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -177,57 +193,83 @@ def _encoder(blob: bytes) -> CachedEncoder:
     return held[key]
 
 
-def _slot(keys: np.ndarray) -> np.ndarray:
-    return (keys * np.uint32(2654435761)) >> np.uint32(12)
+def _slot(keys: np.ndarray, second: bool = False) -> np.ndarray:
+    """20 bits of a pair's hash."""
+    if keys.dtype == np.uint32:
+        return (keys * np.uint32(2246822519 if second else 2654435761)) >> np.uint32(12)
+    return (keys * np.uint64(0xC2B2AE3D27D4EB4F if second else 0x9E3779B97F4A7C15)) >> np.uint64(44)
+
 
+def compress(ids: np.ndarray, base: int, min_count: int = MIN_COUNT):
+    """(sequence, rules (k, 2), expansion lengths); ids are below ``base``, nonterminals from there on.
 
-def compress(ids: np.ndarray, rounds: int = ROUNDS, min_count: int = MIN_COUNT, max_rules: int = MAX_RULES, base: int = BASE):
-    """(sequence, rules (k, 2), expansion lengths) with symbols below 65536."""
+    A round replaces all frequent pairs; after it only pairs with a symbol that is new can be frequent enough,
+    for the others had too few places left. It ends when no pair has ``min_count`` places."""
     seq = ids.astype(np.uint32)
     rules: list[np.ndarray] = []
-    lengths: list[np.ndarray] = []
-    made, table = 0, np.empty(1 << 20, np.int32)
-    for _ in range(rounds):
-        if len(seq) < 2 * min_count or made >= max_rules:
-            break
-        keys = (seq[:-1] << np.uint32(16)) | seq[1:]
+    sizes = np.ones(base, np.int64)
+    tables = np.empty((2, 1 << 20), np.int32)
+    fresh, again = 0, True  # the least new symbol; whether to look at all pairs
+    while len(seq) >= 2 * min_count:
+        wide = len(sizes) > 1 << 16
+        if again:
+            where, left, right = None, seq[:-1], seq[1:]
+        else:
+            new_at = seq >= fresh
+            where = np.flatnonzero(new_at[:-1] | new_at[1:])
+            left, right = seq[where], seq[where + 1]
+        keys = (left.astype(np.uint64) << np.uint64(32)) | right if wide else (left << np.uint32(16)) | right
         ordered = np.sort(keys)
         # a value that is as it was min_count - 1 places before is frequent
-        pairs = ordered[min_count - 1 :][ordered[min_count - 1 :] == ordered[: len(ordered) - min_count + 1]]
+        pairs = ordered[min_count - 1 :][ordered[min_count - 1 :] == ordered[: len(ordered) - min_count + 1]] if len(keys) >= min_count else keys[:0]
         if not len(pairs):
             break
         pairs = pairs[np.concatenate([[True], pairs[1:] != pairs[:-1]])]
-        if len(pairs) > max_rules - made:
-            counts = np.searchsorted(ordered, pairs, "right") - np.searchsorted(ordered, pairs, "left")
-            pairs = np.sort(pairs[np.argsort(-counts, kind="stable")[: max_rules - made]])
-        # one place per hash: of pairs that meet there, the others wait for the next round
-        table.fill(-1)
-        table[_slot(pairs)] = np.arange(len(pairs))
-        rank = table[_slot(keys)]
+        # one place per hash and table; pairs that meet in both wait for a round of their own
+        tables[0].fill(-1)
+        tables[0][_slot(pairs)] = np.arange(len(pairs))
+        lost = np.flatnonzero(pairs[tables[0][_slot(pairs)]] != pairs)
+        tables[1][_slot(pairs[lost], True)] = lost
+        waits = len(lost) and (tables[1][_slot(pairs[lost], True)] != lost).any()
+        rank = tables[0][_slot(keys)]
         at = np.flatnonzero(rank >= 0)
-        at = at[pairs[rank[at]] == keys[at]]
-        rank = rank[at]
+        rank, found = rank[at], keys[at]
+        wrong = np.flatnonzero(pairs[rank] != found)
+        if len(wrong) and len(lost):
+            tables[1][_slot(found[wrong], True)] = 0
+            tables[1][_slot(pairs[lost], True)] = lost
+            rank[wrong] = tables[1][_slot(found[wrong], True)]
+        right_ones = pairs[rank] == found
+        at, rank = at[right_ones], rank[right_ones]
+        at = at if where is None else where[at]
         # of overlapping occurrences, every other one from the left of a run
-        first = np.concatenate([[True], np.diff(at) != 1])
-        run_start = at[np.flatnonzero(first)][np.cumsum(first) - 1]
-        take = (at - run_start) % 2 == 0
+        first = np.ones(len(at), bool)
+        first[1:] = np.diff(at) != 1
+        run_start = np.maximum.accumulate(np.where(first, at, 0))
+        take = (at - run_start) & 1 == 0
         at, rank = at[take], rank[take]
-        met = np.zeros(len(pairs), bool)
-        met[rank] = True
-        used, rank = np.flatnonzero(met), (np.cumsum(met) - 1)[rank]
-        new = np.stack([pairs[used] >> 16, pairs[used] & 0xFFFF], 1).astype(np.int64)
-        seq[at] = (base + made + rank).astype(np.uint32)
+        # a pair that others left too few places for has no rule
+        places = np.bincount(rank, minlength=len(pairs))
+        used = np.flatnonzero(places >= min_count)
+        if not len(used):
+            break
+        number = np.full(len(pairs), -1)
+        number[used] = np.arange(len(used))
+        rank = number[rank]
+        at, rank = at[rank >= 0], rank[rank >= 0]
+        half = np.uint64(32 if wide else 16)
+        new = np.stack([pairs[used].astype(np.uint64) >> half, pairs[used].astype(np.uint64) & ((np.uint64(1) << half) - np.uint64(1))], 1).astype(np.int64)
+        fresh, again = len(sizes), bool(waits)
+        seq[at] = (fresh + rank).astype(np.uint32)
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
         seq = seq[keep]
-        known = np.concatenate(lengths) if lengths else np.empty(0, np.int64)
-        lengths.append(sum(np.where(new[:, i] < base, 1, known[np.maximum(new[:, i] - base, 0)] if len(known) else 1) for i in (0, 1)))
+        sizes = np.concatenate([sizes, sizes[new].sum(1)])
         rules.append(new)
-        made += len(used)
-    return seq, np.concatenate(rules) if rules else np.empty((0, 2), np.int64), np.concatenate(lengths) if lengths else np.empty(0, np.int64)
+    return seq, np.concatenate(rules) if rules else np.empty((0, 2), np.int64), sizes[base:]
 
 
-def expansions(rules: np.ndarray, base: int = BASE) -> list[np.ndarray]:
+def expansions(rules: np.ndarray, base: int) -> list[np.ndarray]:
     out: list[np.ndarray] = []
     for a, b in rules.tolist():
         out.append(np.concatenate([out[s - base] if s >= base else np.array([s], np.int64) for s in (a, b)]))
@@ -235,33 +277,54 @@ def expansions(rules: np.ndarray, base: int = BASE) -> list[np.ndarray]:
 
 
 def pack(ids: np.ndarray, **options) -> bytes:
-    seq, rules, lengths = compress(ids, **options)
+    has = np.flatnonzero(np.bincount(ids, minlength=1)) if len(ids) else np.empty(0, np.int64)
+    number = np.zeros(1 << 16, np.uint32)
+    number[has] = np.arange(len(has))
+    seq, rules, lengths = compress(number[ids], len(has), **options)
     width = 2 if not len(seq) or seq.max() < 65536 else 4
-    return b"RPG1" + struct.pack("<IIB", len(rules), len(seq), width) + rules.astype("<u4").tobytes() + lengths.astype("<u4").tobytes() + seq.astype(f"<u{width}").tobytes()
+    return b"RPG2" + struct.pack("<IIIB", len(has), len(rules), len(seq), width) + has.astype("<u2").tobytes() + rules.astype("<u4").tobytes() + lengths.astype("<u4").tobytes() + seq.astype(f"<u{width}").tobytes()
 
 
 class Block:
     """A read payload."""
 
-    def __init__(self, payload: bytes, base: int = BASE):
-        if payload[:4] != b"RPG1":
+    def __init__(self, payload: bytes):
+        if payload[:4] != b"RPG2":
             raise ValueError("not a token block")
-        n_rules, n, width = struct.unpack("<IIB", payload[4:13])
-        at = 13 + 12 * n_rules
-        self.rules = np.frombuffer(payload, "<u4", 2 * n_rules, 13).reshape(-1, 2).astype(np.int64)
-        self.lengths = np.frombuffer(payload, "<u4", n_rules, 13 + 8 * n_rules).astype(np.int64)
-        self.seq = np.frombuffer(payload, f"<u{width}", n, at).astype(np.int64)
+        base, n_rules, n, width = struct.unpack("<IIIB", payload[4:17])
+        at = 17 + 2 * base
+        self.ids = np.frombuffer(payload, "<u2", base, 17)
+        self.rules = np.frombuffer(payload, "<u4", 2 * n_rules, at).reshape(-1, 2).astype(np.int64)
+        self.lengths = np.frombuffer(payload, "<u4", n_rules, at + 8 * n_rules).astype(np.int64)
+        self.seq = np.frombuffer(payload, f"<u{width}", n, at + 12 * n_rules).astype(np.int64)
         self.base = base
-        table = expansions(self.rules, base)
-        self.flat = np.concatenate([np.arange(base, dtype=np.int64), *table]) if table else np.arange(base, dtype=np.int64)
         self.size = np.concatenate([np.ones(base, np.int64), self.lengths])
-        self.where = np.cumsum(self.size) - self.size
+        # ids and short rules, spelt out one after the other
+        short = np.flatnonzero(self.size <= SPELT)
+        self.flat = self._opened(short, 1)
+        self.where = np.zeros(len(self.size), np.int64)
+        self.where[short] = np.cumsum(self.size[short]) - self.size[short]
+
+    def _opened(self, seq: np.ndarray, longest: int) -> np.ndarray:
+        """``seq`` with its rules opened, a level at a time, until no expansion is over ``longest``."""
+        while True:
+            inner = self.size[seq] > longest
+            if not inner.any():
+                return seq
+            width = 1 + inner
+            ends = np.cumsum(width)
+            out = np.empty(int(ends[-1]), np.int64)
+            out[ends - width] = seq
+            both = self.rules[seq[inner] - self.base]
+            out[ends[inner] - 2], out[ends[inner] - 1] = both[:, 0], both[:, 1]
+            seq = out
 
     def _expand(self, seq: np.ndarray) -> np.ndarray:
+        seq = self._opened(seq, SPELT)
         size = self.size[seq]
         ends = np.cumsum(size)
         total = int(ends[-1]) if len(ends) else 0
-        return self.flat[np.arange(total) + np.repeat(self.where[seq] - (ends - size), size)].astype(np.uint32)
+        return self.ids[self.flat[np.arange(total) + np.repeat(self.where[seq] - (ends - size), size)]].astype(np.uint32)
 
     def decode(self) -> np.ndarray:
         return self._expand(self.seq)
@@ -279,9 +342,11 @@ def write(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", te
     """Token blocks of all documents under ``path``, in ascending order of id by (shard, block)."""
     with open(tokenizer, "rb") as f:
         blob = f.read()
-    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), text_or_empty(text_col).alias("text"))
-    shards = shards or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    CachedEncoder(blob)  # refuses a file that it doesn't know before any task runs
+    if shards is None:
+        size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first().n
+        shards = max(1, -(-size // SHARD_BYTES))
     end = np.array([end_id], np.uint16).tobytes()
 
     def run(batches):
@@ -350,6 +415,6 @@ def read_documents(spark: SparkSession, path: str, doc_ids: list[int]) -> dict[i
 def round_trip(docs: DataFrame, tokenizer: str, **options) -> DataFrame:
     """Writes the files to the shared folder and reads them back."""
     spark = docs.sparkSession
-    path = f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
+    path = temporary(spark, "tokens")
     write(docs, path, tokenizer, **options)
     return read(spark, path)

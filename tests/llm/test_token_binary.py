@@ -36,19 +36,42 @@ def test_encoder_is_the_library(encoder, library, texts):
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.lists(st.integers(0, 5), max_size=300), st.integers(2, 5), st.integers(1, 8))
-def test_repair_round_trip(ids, min_count, rounds):
+@given(st.lists(st.integers(0, 5), max_size=300), st.integers(2, 5))
+def test_repair_round_trip(ids, min_count):
     ids = np.array(ids, np.uint16)
-    block = B.Block(B.pack(ids, rounds=rounds, min_count=min_count))
+    block = B.Block(B.pack(ids, min_count=min_count))
     assert block.decode().tolist() == ids.tolist()
     for start in range(0, len(ids), 7):
         assert block.read(start, min(5, len(ids) - start)).tolist() == ids[start : start + 5].tolist()
-    assert block.lengths.tolist() == [len(x) for x in B.expansions(block.rules)]
+    assert block.lengths.tolist() == [len(x) for x in B.expansions(block.rules, block.base)]
+    # no pair is left that often, but for overlaps within a run
+    left = block.seq.tolist()
+    for pair in set(zip(left, left[1:], strict=False)):
+        count = k = 0
+        while k < len(left) - 1:
+            hit = (left[k], left[k + 1]) == pair
+            count, k = count + hit, k + 1 + hit
+        assert count < 2 * min_count
+
+
+def test_repair_goes_on_without_a_cap():
+    """More rules than two bytes have room for, and expansions far over sixteen ids."""
+    rng = np.random.default_rng(1)
+    pairs = rng.integers(0, 50_000, (40_000, 2)).astype(np.uint16)
+    ids = np.concatenate([*[pairs[rng.permutation(len(pairs))].ravel() for _ in range(8)], np.tile(np.arange(50, dtype=np.uint16), 4000)])
+    block = B.Block(B.pack(ids))
+    assert len(block.rules) > 30_000 and block.base + len(block.rules) > 65_536 and block.lengths.max() > 1000 and (block.decode() == ids).all()
 
 
 def test_repair_compresses_repeats():
     ids = np.tile(np.arange(50, dtype=np.uint16), 4000)
-    assert len(B.pack(ids, rounds=12)) < len(ids.tobytes()) / 20
+    assert len(B.pack(ids)) < len(ids.tobytes()) / 100
+
+
+def test_other_tokenizers_are_refused(spark):
+    docs = spark.createDataFrame([(1, "a b")], "doc_id bigint, text string")
+    with pytest.raises(ValueError, match="byte-level"):
+        B.round_trip(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
 def test_files_hold_all_documents(spark, library, tmp_path):
