@@ -24,6 +24,11 @@ def bitmap_joint_count(position: Column, *conditions: Column) -> Column:
     return F.bitmap_count(bitmap_of(position, joint))
 
 
+def bitmap_capacity() -> int:
+    """Positions that one bucket's bitmap has room for."""
+    return 8 * 4096
+
+
 def get_bit(value: Column, index: int) -> Column:
     return F.getbit(value, F.lit(index))
 

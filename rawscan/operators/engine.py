@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..plans.planner import Plan, calibrate
 from .jsonquery import JsonQuery
-from .parse import execute
+from .parse import accepts, execute
 from .rawfilter import apply_cascade, rf
 
 
@@ -23,7 +23,7 @@ def calibrated_search(raw: DataFrame, query: JsonQuery, value: str = "value", sa
     terms = query.literals()
     if not terms:
         return search(raw, query, [], value), None
-    plan = calibrate(sample_from if sample_from is not None else raw, terms, value, **options)
+    plan = calibrate(sample_from if sample_from is not None else raw, terms, value, **{"schema": query.schema()} | options)
     return search(raw, query, plan.tokens, value), plan
 
 
@@ -63,6 +63,11 @@ def stats(raw: DataFrame, tokens: list[str], exact: Column, value: str = "value"
     )
 
 
+def search_stats(raw: DataFrame, query: JsonQuery, tokens: list[str] | None = None, value: str = "value") -> DataFrame:
+    """The run counters of a search: its raw filters, and the parsed query as the exact predicate of the survivors."""
+    return stats(raw, query.literals() if tokens is None else tokens, accepts(query, value), value)
+
+
 REPORT = [
     ("Records scanned", "records"),
     ("Prefix token hits", "total_matches"),

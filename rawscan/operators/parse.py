@@ -6,7 +6,7 @@ pull later filters through it, so the plan holds a single ``from_json``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -45,6 +45,24 @@ def execute(raw: DataFrame, query: JsonQuery, value: str = "value", strict: bool
     return out.filter(query.condition(record)).select(*raw.columns, *query.columns(record))
 
 
+def accepts(query: JsonQuery, value: str = "value") -> Column:
+    """The query's verdict on a record as one Column, where counters need it for records that fail, too."""
+    records = F.from_json(F.concat(F.lit("["), F.col(value), F.lit("]")), T.ArrayType(query.schema()), OPTIONS)
+    return (F.size(records) == 1) & query.condition(F.get(records, F.lit(0)))
+
+
+def execute_files(spark: SparkSession, path, query: JsonQuery, delimiter: str = "\n") -> DataFrame:
+    """The query's projections for the records of JSON files, through Spark's JSON reader: no raw filter, and the text is not kept.
+
+    As the reader has it, a record may have junk behind its object."""
+    if not query.root.children:
+        raise ValueError("a query without paths accepts nothing")
+    rows = spark.read.schema(query.schema()).options(mode="DROPMALFORMED", lineSep=delimiter, **OPTIONS).json(path)
+    record = F.struct(*[F.col(f"`{c}`") for c in rows.columns])
+    found = rows.select(record.alias(PARSED)).filter(query.condition(F.col(PARSED)))
+    return found.select(*query.columns(F.col(PARSED)))
+
+
 def _execute_paths(raw: DataFrame, query: JsonQuery, value: str) -> DataFrame:
     casts = {"int": "bigint", "bool": "boolean", "double": "double"}
 

@@ -8,18 +8,19 @@ from pyspark.sql import types as T
 
 from .functions import bitmap_joint_count, bitmap_of, get_bit, lane_count, set_count
 from .operators.engine import calibrated_search, search, stats, stats_report
+from .operators.engine import search_stats as search_stats_of
 from .operators.jsonquery import JsonQuery
-from .operators.parse import execute
+from .operators.parse import execute, execute_files
 from .operators.rawfilter import any_cascade, apply_cascade
-from .plans.decompose import clamp, decompose, decompose_column
+from .plans.decompose import RawFilter, clamp, decompose, decompose_column
 from .plans.literals import contains, custom, equals
-from .plans.planner import calibrate
-from .sources.text import sample_head, split_records
+from .plans.planner import calibrate, hit_patterns, joint_rate
+from .sources.text import byte_range, read_records, read_whole, sample_head, scratch_path, split_records, write_records
 
 PAIR = ["that", "with"]
 TERMS = ["thatin", "ononst"]
 PARSE_COST = 2000.0
-LONG_TOKEN = "the that of thin and"
+LONG_TOKEN = "License, Version 9 of no document"
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -75,14 +76,41 @@ def scan_empty_records(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", F.size(F.filter(split_records(F.col("text")), lambda r: r == "")).cast("bigint").alias("empty_records"))
 
 
-@query("SELECT lang, CAST(sum(length(text)) AS BIGINT) AS chars, count(*) AS texts FROM documents GROUP BY lang")
+@query("SELECT lang, CAST(sum(length(text) + 1) AS BIGINT) AS chars FROM documents GROUP BY lang")
 def scan_whole_text(spark, sf_dir):
-    return docs(spark, sf_dir).groupBy("lang").agg(F.sum(F.length("text")).alias("chars"), F.count("*").alias("texts"))
+    path = scratch_path(spark, "texts")
+    docs(spark, sf_dir).select("lang", "text").write.partitionBy("lang").text(path)
+    return read_whole(spark, path).groupBy("lang").agg(F.sum(F.length("value")).alias("chars"))
 
 
-@query("SELECT doc_id, substr(text, 101, 50) AS part FROM documents")
+@query("SELECT doc_id, substr(hex(text), 201, 100) AS part FROM documents")
 def scan_byte_range(spark, sf_dir):
-    return docs(spark, sf_dir).select("doc_id", F.substring("text", 101, 50).alias("part"))
+    return byte_range(docs(spark, sf_dir).select("doc_id", "text"), 100, 50, "text").select("doc_id", F.hex("text").alias("part"))
+
+
+def written(spark, sf_dir, delimiter: str = "\n") -> str:
+    """Path of the documents' JSON records as text files."""
+    path = scratch_path(spark, "records")
+    write_records(raw_documents(spark, sf_dir), path, delimiter=delimiter)
+    return path
+
+
+@query("SELECT length(line) AS chars, count(*) AS records FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents) GROUP BY length(line)")
+def scan_files(spark, sf_dir):
+    path = scratch_path(spark, "texts")
+    write_records(docs(spark, sf_dir), path, "text")
+    return read_records(spark, path).groupBy(F.length("value").cast("bigint").alias("chars")).agg(F.count("*").alias("records"))
+
+
+@query("SELECT count(*) AS matches FROM documents WHERE contains(text, 'that') AND contains(text, 'with')")
+def search_files(spark, sf_dir):
+    return search(read_records(spark, written(spark, sf_dir, "\r\n"), "\r\n"), pair_query()).agg(F.count("*").alias("matches"))
+
+
+@query("SELECT doc_id, source FROM documents WHERE contains(text, 'that') AND contains(text, 'with')")
+def json_reader_files(spark, sf_dir):
+    q = pair_query().add_projection("doc_id", "int").add_projection("meta.source", alias="source")
+    return execute_files(spark, written(spark, sf_dir), q)
 
 
 @query("SELECT count(*) AS sampled, CAST(sum(length(text)) AS BIGINT) AS chars FROM (SELECT * FROM documents ORDER BY doc_id LIMIT 1000)")
@@ -146,19 +174,21 @@ def rf_empty_schedule(spark, sf_dir):
 
 @query("SELECT count(*) AS n, count(*) FILTER (contains(text, 'that')) AS that_hits, count(*) FILTER (contains(text, 'with')) AS with_hits, count(*) FILTER (contains(text, 'License')) AS license_hits FROM documents")
 def rf_passthrough_rates(spark, sf_dir):
-    hits = [F.count_if(F.col("text").contains(t)).alias(f"{t.lower()}_hits") for t in ("that", "with", "License")]
-    return docs(spark, sf_dir).agg(F.count("*").alias("n"), *hits)
+    tokens = ["that", "with", "License"]
+    patterns = hit_patterns(docs(spark, sf_dir), [RawFilter(t, i) for i, t in enumerate(tokens)], "text")
+    n = sum(patterns.values())
+    return spark.createDataFrame([(n, *[round(n * joint_rate(patterns, (i,))) for i in range(3)])], "n bigint, " + ", ".join(f"{t.lower()}_hits bigint" for t in tokens))
 
 
 @query("""WITH t AS (SELECT * FROM (VALUES ('that'), ('with'), ('tion')) AS v(token))
 SELECT a.token AS first_token, b.token AS second_token, count(d.doc_id) AS joint_hits FROM t a JOIN t b ON a.token < b.token
 LEFT JOIN documents d ON contains(d.text, a.token) AND contains(d.text, b.token) GROUP BY a.token, b.token""")
 def rf_joint_rates(spark, sf_dir):
-    pairs = [("that", "tion"), ("that", "with"), ("tion", "with")]
-    text = F.col("text")
-    counts = docs(spark, sf_dir).agg(*[F.count_if(text.contains(a) & text.contains(b)).alias(f"p{i}") for i, (a, b) in enumerate(pairs)])
-    rows = [F.struct(F.lit(a).alias("first_token"), F.lit(b).alias("second_token"), F.col(f"p{i}").alias("joint_hits")) for i, (a, b) in enumerate(pairs)]
-    return counts.select(F.inline(F.array(*rows)))
+    tokens = ["that", "tion", "with"]
+    patterns = hit_patterns(docs(spark, sf_dir), [RawFilter(t, i) for i, t in enumerate(tokens)], "text")
+    n = sum(patterns.values())
+    rows = [(tokens[i], tokens[j], round(n * joint_rate(patterns, (i, j)))) for i, j in ((0, 1), (0, 2), (1, 2))]
+    return spark.createDataFrame(rows, "first_token string, second_token string, joint_hits bigint")
 
 
 SCHEDULES_SQL = """WITH rf AS (SELECT * FROM (VALUES {values}) AS v(idx, source, token)),
@@ -250,6 +280,14 @@ def search_stats(spark, sf_dir):
     return pair_stats(spark, sf_dir)
 
 
+@query(f"""SELECT *, CASE WHEN rf_passed > 0 THEN callback_passed / rf_passed ELSE 0.0 END AS fraction_passed_correct,
+CASE WHEN rf_passed > 0 THEN 1.0::DOUBLE - callback_passed / rf_passed ELSE 0.0 END AS fraction_passed_incorrect,
+CAST(0 AS BIGINT) AS bytes_seeked_forward, CAST(0 AS BIGINT) AS bytes_seeked_backward FROM ({STATS_SQL})""")
+def search_stats_parsed(spark, sf_dir):
+    q = JsonQuery().add_string_filter("text", contains("that ")).add_string_filter("text", contains("with "))
+    return search_stats_of(raw_documents(spark, sf_dir), q, PAIR)
+
+
 @query(f"""WITH s AS ({STATS_SQL}), f AS (SELECT *, CASE WHEN rf_passed > 0 THEN callback_passed / rf_passed ELSE 0.0 END AS a, CASE WHEN rf_passed > 0 THEN 1.0::DOUBLE - callback_passed / rf_passed ELSE 0.0 END AS b FROM s)
 SELECT unnest([0, 1, 2, 3, 4, 5, 6, 7])::INT AS line_no, unnest(['Records scanned: ' || records, 'Prefix token hits: ' || total_matches, 'Raw-filter survivors: ' || rf_passed,
 'Exact matches: ' || callback_passed, 'Bytes skipped forward: 0', 'Bytes skipped backward: 0', 'Share of survivors correct: ' || format('{{:.6f}}', a), 'Share of survivors wrong: ' || format('{{:.6f}}', b)]) AS line FROM f""")
@@ -291,7 +329,7 @@ def json_string_udf(spark, sf_dir):
 
 @query("SELECT event_id FROM events WHERE json_extract(props, '$.k')::BIGINT > 95")
 def json_int_filter(spark, sf_dir):
-    return execute(props(spark, sf_dir), JsonQuery().add_integer_filter("k", lambda k: k > 95)).select("event_id")
+    return search(props(spark, sf_dir), JsonQuery().add_integer_filter("k", lambda k: k > 95), ['"k"'], mode="raw").select("event_id")
 
 
 @query("SELECT event_id, json_extract(props, '$.k')::BIGINT AS k FROM events WHERE json_extract(props, '$.k')::BIGINT BETWEEN 10 AND 20")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,3 +37,16 @@ def sample_head(raw: DataFrame, rows: int = 1000, order_by: str | None = None) -
 
 def write_records(df: DataFrame, path: str, value: str = "value", delimiter: str = "\n", mode: str = "error") -> None:
     df.select(F.col(value).alias("value")).write.mode(mode).option("lineSep", delimiter).text(path)
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in spark.checkpoint.dir (a local folder where that is unset, in local mode only), removed when the JVM ends."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        at = tempfile.mkdtemp(prefix="records-")
+    path = f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return path
