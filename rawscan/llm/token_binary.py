@@ -1,7 +1,7 @@
 """Token ids in a compact, randomly readable form: Re-Pair grammars per shard.
 
 Documents are dealt to shards by ranges of their id, so shard order is id order; there are as many
-shards as the text has SHARD_BYTES. Each
+shards as the input has SHARD_BYTES. Each
 shard is cut into blocks of whole documents; a block holds a grammar and its compressed
 sequence. Its ids are first numbered anew, by those it has. Re-Pair then works in rounds: every pair at least
 ``min_count`` times present gets a nonterminal and is replaced from left to right, then pairs of the result are counted
@@ -40,7 +40,7 @@ _CUT = re.compile(r" (?=\S)")
 _GAP_RE2 = r" ([\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|\z)"
 _WORD = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([\\n.,;:!?\"')*$%&#-].*)?", re.DOTALL)
 BLOCK_TOKENS = 1 << 20
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20  # by the plan's statistics; Parquet files hold some twice as much text
 MIN_COUNT = 7
 SPELT = 32  # a reader spells out rules up to this long once
 CACHE = 800_000  # some 200 bytes each
@@ -338,15 +338,19 @@ class Block:
         return part[skip : skip + n]
 
 
+def _size(rows: DataFrame) -> int:
+    """Bytes of ``rows`` as the plan's statistics have them (of files: as stored); where it has none, of the texts by a scan."""
+    known = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return known if known < 1 << 60 else rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first().n
+
+
 def write(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", shards: int | None = None, end_id: int = 0, block_tokens: int = BLOCK_TOKENS) -> None:
     """Token blocks of all documents under ``path``, in ascending order of id by (shard, block)."""
     with open(tokenizer, "rb") as f:
         blob = f.read()
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), text_or_empty(text_col).alias("text"))
     CachedEncoder(blob)  # refuses a file that it doesn't know before any task runs
-    if shards is None:
-        size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first().n
-        shards = max(1, -(-size // SHARD_BYTES))
+    shards = shards or max(1, -(-_size(rows) // SHARD_BYTES))
     end = np.array([end_id], np.uint16).tobytes()
 
     def run(batches):
