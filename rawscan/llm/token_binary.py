@@ -38,12 +38,13 @@ from .common import slices, temporary, text_or_empty
 _CUT = re.compile(r" (?=\S)")
 #: a space before white space or the end; a wide notion of white space only costs time
 _GAP_RE2 = r" ([\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|\z)"
-_WORD = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([\\n.,;:!?\"')*$%&#-].*)?", re.DOTALL)
+#: letters, which are one token of the splitter, and what may follow them: nothing, or from ASCII punctuation on
+_WORD_RE2 = r"""^(?P<letters>[A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{ff}]+)(?P<tail>(?:[\n.,;:!?"')*$%&#-](?s:.*))?)$"""
 BLOCK_TOKENS = 1 << 20
 SHARD_BYTES = 4 << 20  # by the plan's statistics; Parquet files hold some twice as much text
 MIN_COUNT = 7
 SPELT = 32  # a reader spells out rules up to this long once
-CACHE = 800_000  # some 200 bytes each
+CACHE = 1_600_000  # strings of a kind, some 60 bytes each
 BLOCK_SCHEMA = "shard int, block int, start bigint, n_tokens bigint, doc_ids array<bigint>, lengths array<bigint>, payload binary"
 
 
@@ -53,14 +54,15 @@ class CachedEncoder:
     Byte-level BPE splits a text before it merges, from left to right, and always before a
     space with a non-space behind it. So a text is the concatenation of the chunks between
     such spaces, encoded apart, each with its space. Arrow cuts a batch of texts and finds its
-    distinct chunks; only those are looked up. A chunk not seen yet that is letters and then
-    ASCII punctuation is split there too: its letters are one token of the splitter, so
-    the model encodes them directly. Other new chunks are encoded as one string and told apart
+    distinct chunks. A chunk that is letters and then ASCII punctuation is split there too:
+    its letters are one token of the splitter, so the model encodes them directly. Distinct
+    letters and tails are looked up, and Arrow joins their ids again. Other chunks are encoded as one string and told apart
     by the bytes that each id stands for. Texts with special strings go to the library
-    whole. The cache only saves time; the older half is forgotten when it is full.
+    whole. The caches are Arrow arrays and only save time; the older half is forgotten when one is full.
     """
 
     def __init__(self, blob: bytes, special: tuple[str, ...] = ("<|endoftext|>",)):
+        import pyarrow as pa
         from tokenizers import Tokenizer
 
         self.tok, self.special = Tokenizer.from_buffer(blob), special
@@ -72,10 +74,9 @@ class CachedEncoder:
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = iter(range(256, 512))
         letter = [chr(b if b in shown else next(rest)) for b in range(256)]
-        self.letters = {c: "".join([letter[b] for b in chr(c).encode()]) for c in range(192, 256)}
+        self.shown = {b: c for b, c in enumerate(letter) if b > 126 and c != chr(b)}
         self.space, self.two = letter[32], [i.to_bytes(2, "little") for i in range(size)]
-        self.cache: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.held = {kind: (pa.array([], pa.string()), pa.array([], pa.large_binary())) for kind in (self._letters, self._joined, self._whole)}  # strings and their ids
 
     def _check(self, blob: bytes) -> None:
         """The shortcuts hold for one way of splitting only, and for ids of 16 bits."""
@@ -93,46 +94,50 @@ class CachedEncoder:
         return [np.array(e.ids, np.uint16).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _joined(self, chunks: list[str]) -> list[bytes]:
-        """Chunks that end where the splitter cuts whatever follows."""
-        if not chunks:
-            return []
+        """Chunks without their space, which end where the splitter cuts whatever follows."""
+        chunks = [" " + c for c in chunks]
         data = self._whole(["".join(chunks)])[0]
         ends = np.searchsorted(np.cumsum(self.n_bytes[np.frombuffer(data, np.uint16)]), np.cumsum([len(c.encode("utf-8", "surrogatepass")) for c in chunks]), "left") + 1
         ends = (2 * ends).tolist()
         return [data[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
-    def _fill(self, new: list[str]) -> None:
-        cache, old, odd, tails, later = self.cache, self.old, [], {}, []
-        tokenize, two, space, shown, match = self.model.tokenize, self.two, self.space, self.letters, _WORD.fullmatch
-        for p in new:
-            if p in old:
-                cache[p] = old[p]
-                continue
-            if p.isascii() and p.isalpha():
-                cache[p] = b"".join([two[t.id] for t in tokenize(space + p)])
-                continue
-            m = match(p)
-            if m is None:
-                odd.append(p)
-                continue
-            letters, tail = m.groups()
-            ids = cache.get(letters) or old.get(letters)
-            if ids is None:
-                ids = cache[letters] = b"".join([two[t.id] for t in tokenize(space + (letters if letters.isascii() else letters.translate(shown)))])
-            if tail:
-                tails[tail] = None
-                later.append((p, ids, tail))
-        cache.update(zip(odd, self._joined([" " + p for p in odd]), strict=True))
-        tails = dict(zip(tails, self._whole(list(tails)), strict=True)) if tails else {}
-        for p, ids, tail in later:
-            cache[p] = ids + tails[tail]
-
-    def _lookup(self, chunks: list[str]) -> list[bytes]:
-        found = list(map(self.cache.get, chunks))
-        if None in found:
-            self._fill([p for p, f in zip(chunks, found, strict=True) if f is None])
-            found = list(map(self.cache.__getitem__, chunks))
-        return found
+    def _letters(self, words: list[str]) -> list[bytes]:
+        """Runs of letters without their space, straight by the model."""
+        text = "\n".join(words)
+        if not text.isascii():
+            text = text.encode().decode("latin-1").translate(self.shown)
+        tokenize, two, space = self.model.tokenize, self.two, self.space
+        return [b"".join([two[t.id] for t in tokenize(space + w)]) for w in text.split("\n")]
+
+    def _ids(self, strings, kind):
+        """Ids of an Arrow array of distinct strings, as an array of bytes."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        names, ids = self.held[kind]
+        at = pc.index_in(strings, value_set=names)
+        missing = strings.filter(at.is_null())
+        at = at.fill_null(-1).to_numpy(zero_copy_only=False).copy()
+        if len(missing):
+            at[at < 0] = len(ids) + np.arange(len(missing))
+            names, ids = pa.concat_arrays([names, missing]), pa.concat_arrays([ids, pa.array(kind(missing.to_pylist()), pa.large_binary())])
+            recent = slice(len(names) // 2 if len(names) > CACHE else 0, None)
+            self.held[kind] = names[recent], ids[recent]
+        return ids.take(pa.array(at))
+
+    def _chunks(self, chunks):
+        """(ids of distinct chunks, each behind a space, as an array of bytes; the index there of each chunk)."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        cut = pc.extract_regex(chunks, _WORD_RE2)
+        letters, tail = (pc.struct_field(cut, [k]).dictionary_encode() for k in (0, 1))
+        words = pc.binary_join_element_wise(
+            self._ids(letters.dictionary, self._letters).take(letters.indices), self._ids(tail.dictionary, self._whole).take(tail.indices), pa.scalar(b"", pa.large_binary())
+        )
+        where, odd = np.arange(len(chunks)), np.flatnonzero(cut.is_null().to_numpy(zero_copy_only=False))
+        where[odd] = len(chunks) + np.arange(len(odd))
+        return pa.concat_arrays([words, self._ids(chunks.take(pa.array(odd)), self._joined)]), where
 
     def encode(self, texts) -> list[bytes]:
         """``texts``: an Arrow array of strings without nulls."""
@@ -150,18 +155,22 @@ class CachedEncoder:
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        if len(self.cache) > CACHE // 2:
-            self.old, self.cache = self.cache, {}
         if not len(texts):
             return []
         slow = pc.match_substring_regex(texts, _GAP_RE2).to_numpy(zero_copy_only=False)
         for s in self.special:
             slow = slow | pc.match_substring(texts, s).to_numpy(zero_copy_only=False)
         out: list = [None] * len(texts)
-        for i in np.flatnonzero(slow).tolist():
-            t = texts[i].as_py()
-            head, *parts = [t] if any(s in t for s in self.special) else _CUT.split(t)
-            out[i] = self._whole([head])[0] + b"".join(self._lookup(parts))
+        rows = np.flatnonzero(slow)
+        if len(rows):
+            cut = [[t] if any(s in t for s in self.special) else _CUT.split(t) for t in texts.take(pa.array(rows)).to_pylist()]
+            heads = self._whole([c[0] for c in cut])
+            parts = pa.array([p for c in cut for p in c[1:]], pa.string()).dictionary_encode()
+            table, where = self._chunks(parts.dictionary)
+            tails, at = table.take(pa.array(where[parts.indices.to_numpy()])).to_pylist(), 0
+            for i, c, head in zip(rows.tolist(), cut, heads, strict=True):
+                out[i] = head + b"".join(tails[at : at + len(c) - 1])
+                at += len(c) - 1
         rows = np.flatnonzero(~slow)
         if not len(rows):
             return out
@@ -169,12 +178,13 @@ class CachedEncoder:
         starts = lists.offsets.to_numpy().astype(np.int64)
         flat = lists.flatten()
         words = flat.dictionary_encode()
-        at = words.indices.to_numpy().astype(np.int64)
-        table = self._lookup(words.dictionary.to_numpy(zero_copy_only=False).tolist())
-        at[starts[:-1] - starts[0]] = len(table) + np.arange(len(rows))  # first chunks have no space before them
-        table += self._whole(flat.take(pa.array(starts[:-1] - starts[0])).to_pylist())
-        taken = pa.array(table, pa.large_binary()).take(pa.array(at))
-        _, ends, data = taken.buffers()
+        table, where = self._chunks(words.dictionary)
+        at = where[words.indices.to_numpy()]
+        first = pa.array(starts[:-1] - starts[0])  # first chunks have no space before them
+        heads = flat.take(first).dictionary_encode()
+        at[first.to_numpy()] = len(table) + heads.indices.to_numpy().astype(np.int64)
+        table = pa.concat_arrays([table, self._ids(heads.dictionary, self._whole)])
+        _, ends, data = table.take(pa.array(at)).buffers()
         data, cuts = data.to_pybytes(), np.frombuffer(ends, np.int64, len(at) + 1)[starts - starts[0]].tolist()
         for i, a, b in zip(rows.tolist(), cuts[:-1], cuts[1:], strict=True):
             out[i] = data[a:b]
@@ -369,7 +379,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", te
             return pa.RecordBatch.from_pylist([row], schema)
 
         schema = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("payload", pa.binary())])
-        for b in slices(batches, 2048):
+        for b in slices(batches, 4096):
             for i, p in zip(b.column(0).to_pylist(), encoder.encode(b.column(1)), strict=True):
                 ids.append(i)
                 parts.append(p + end)
