@@ -76,7 +76,7 @@ class CachedEncoder:
         letter = [chr(b if b in shown else next(rest)) for b in range(256)]
         self.shown = {b: c for b, c in enumerate(letter) if b > 126 and c != chr(b)}
         self.space, self.two = letter[32], [i.to_bytes(2, "little") for i in range(size)]
-        self.held = {kind: (pa.array([], pa.string()), pa.array([], pa.large_binary())) for kind in (self._letters, self._joined, self._whole)}  # strings and their ids
+        self.held = {kind: (pa.array([], pa.string()), pa.array([], pa.large_binary())) for kind in ("_letters", "_joined", "_whole")}  # strings and their ids
 
     def _check(self, blob: bytes) -> None:
         """The shortcuts hold for one way of splitting only, and for ids of 16 bits."""
@@ -109,8 +109,8 @@ class CachedEncoder:
         tokenize, two, space = self.model.tokenize, self.two, self.space
         return [b"".join([two[t.id] for t in tokenize(space + w)]) for w in text.split("\n")]
 
-    def _ids(self, strings, kind):
-        """Ids of an Arrow array of distinct strings, as an array of bytes."""
+    def _ids(self, strings, kind: str):
+        """Ids of an Arrow array of distinct strings by the method ``kind``, as an array of bytes."""
         import pyarrow as pa
         import pyarrow.compute as pc
 
@@ -120,7 +120,7 @@ class CachedEncoder:
         at = at.fill_null(-1).to_numpy(zero_copy_only=False).copy()
         if len(missing):
             at[at < 0] = len(ids) + np.arange(len(missing))
-            names, ids = pa.concat_arrays([names, missing]), pa.concat_arrays([ids, pa.array(kind(missing.to_pylist()), pa.large_binary())])
+            names, ids = pa.concat_arrays([names, missing]), pa.concat_arrays([ids, pa.array(getattr(self, kind)(missing.to_pylist()), pa.large_binary())])
             recent = slice(len(names) // 2 if len(names) > CACHE else 0, None)
             self.held[kind] = names[recent], ids[recent]
         return ids.take(pa.array(at))
@@ -133,11 +133,11 @@ class CachedEncoder:
         cut = pc.extract_regex(chunks, _WORD_RE2)
         letters, tail = (pc.struct_field(cut, [k]).dictionary_encode() for k in (0, 1))
         words = pc.binary_join_element_wise(
-            self._ids(letters.dictionary, self._letters).take(letters.indices), self._ids(tail.dictionary, self._whole).take(tail.indices), pa.scalar(b"", pa.large_binary())
+            self._ids(letters.dictionary, "_letters").take(letters.indices), self._ids(tail.dictionary, "_whole").take(tail.indices), pa.scalar(b"", pa.large_binary())
         )
         where, odd = np.arange(len(chunks)), np.flatnonzero(cut.is_null().to_numpy(zero_copy_only=False))
         where[odd] = len(chunks) + np.arange(len(odd))
-        return pa.concat_arrays([words, self._ids(chunks.take(pa.array(odd)), self._joined)]), where
+        return pa.concat_arrays([words, self._ids(chunks.take(pa.array(odd)), "_joined")]), where
 
     def encode(self, texts) -> list[bytes]:
         """``texts``: an Arrow array of strings without nulls."""
@@ -183,7 +183,7 @@ class CachedEncoder:
         first = pa.array(starts[:-1] - starts[0])  # first chunks have no space before them
         heads = flat.take(first).dictionary_encode()
         at[first.to_numpy()] = len(table) + heads.indices.to_numpy().astype(np.int64)
-        table = pa.concat_arrays([table, self._ids(heads.dictionary, self._whole)])
+        table = pa.concat_arrays([table, self._ids(heads.dictionary, "_whole")])
         _, ends, data = table.take(pa.array(at)).buffers()
         data, cuts = data.to_pybytes(), np.frombuffer(ends, np.int64, len(at) + 1)[starts - starts[0]].tolist()
         for i, a, b in zip(rows.tolist(), cuts[:-1], cuts[1:], strict=True):
