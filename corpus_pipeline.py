@@ -14,7 +14,7 @@ from rawscan.llm.line_spread import remove_boilerplate
 from rawscan.llm.sentencepiece_codec import encode_documents
 from rawscan.llm.simhash_tables import keep_one
 
-WORDS, SIMILARITY = 5, 0.8
+WORDS, RADIUS, SIMILARITY = 5, 3, 0.8
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,8 +31,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, by similarity on shingles of five words."""
-    return keep_one(docs, words=WORDS, similarity=SIMILARITY)
+    """One document of each group of near copies stays: SimHash links at 3 bits through the vantage-point tree, and by similarity, on shingles of five words."""
+    return keep_one(docs, words=WORDS, radius=RADIUS, similarity=SIMILARITY)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

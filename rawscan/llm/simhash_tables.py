@@ -1,4 +1,7 @@
-"""SimHash near-duplicates by shingle similarity, for distances at which triangle bounds prune nothing.
+"""SimHash near-duplicates by shingle similarity: the vantage-point tree's links, then those at distances at which triangle bounds prune nothing.
+
+With a ``radius``, 64-bit fingerprints link at so many bits or fewer, all of them, through the tree of ``simhash_vptree``;
+what follows only adds links of texts that are less alike.
 
 Texts of Jaccard similarity s on their shingles differ in about acos(2s / (1 + s)) / pi of all
 SimHash bits: 15 % at 0.8, some 10 of 64. In uniform Hamming space a vantage-point tree with that
@@ -8,7 +11,7 @@ a few of these (more as the rows grow, so that a bucket holds some four texts th
 compared: first by 64 other bits, then by all. Tables are as many as bring together ``RECALL`` of
 the pairs at the threshold itself; more similar pairs and groups are found more surely.
 
-Two passes: neighbours in the buckets of the first tables join most of each group, then every pair
+Two passes after the tree: neighbours in the buckets of the first tables join most of each group, then every pair
 of different classes in a bucket of any table is compared. Pairs of one class need no comparison,
 and a bucket returns a star per class it joined, so what is emitted stays linear however large a
 group is. A bucket is compared by one task, in blocks; its rows are held in memory, those of a
@@ -28,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import connected_components, discard, merge_labels, placed, slices, stored, text_or_empty, unused
-from .simhash_vptree import shingle_hashes
+from .simhash_vptree import majority, shingle_hashes, star_links
 
 BITS = 1024
 SHORT = 64  # the first bits, which no table sorts by
@@ -41,9 +44,9 @@ _PLACES = (np.arange(BITS // 8) * 256).astype(np.int64)
 _OF_BYTE = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.float64)
 
 
-def wide_fingerprint(text: str, words: int, seed: int = 42) -> np.ndarray:
+def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
     """BITS majority bits as uint64 over the distinct shingles; each one's hash is mixed to BITS bits."""
-    h, n = np.unique(shingle_hashes(text, words, seed)), 0
+    h, n = np.unique(hashes), 0
     salt = np.arange(1, BITS // 64 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     counts = np.zeros(BITS // 8 * 256)
     for at in range(0, len(h), STEP):
@@ -73,19 +76,33 @@ def plan(nodes: int, similarity: float, recall: float = RECALL) -> tuple[int, in
     return k, max(FIRST + 1, math.ceil(math.log(1 - recall) / math.log1p(-((1 - differing(similarity)) ** k))))
 
 
-def signatures(docs: DataFrame, id_col: str, text_col: str, words: int, seed: int) -> DataFrame:
-    """(id, fp array<bigint>) per row."""
+def signatures(docs: DataFrame, id_col: str, text_col: str, words: int, seed: int, narrow: bool = False) -> DataFrame:
+    """(id, fp array<bigint>) per row; with ``narrow``, also the 64 bits that the tree takes, as bigint."""
 
     def run(batches):
         import pyarrow as pa
 
         for b in slices(batches):
-            fps = np.array([wide_fingerprint(t, words, seed) for t in b.column(1).to_pylist()], np.uint64).reshape(-1, BITS // 64)
+            hashes = [shingle_hashes(t, words, seed) for t in b.column(1).to_pylist()]
+            fps = np.array([wide_fingerprint(h) for h in hashes], np.uint64).reshape(-1, BITS // 64)
             at = np.arange(len(fps) + 1, dtype=np.int32) * (BITS // 64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(at), pa.array(fps.view(np.int64).ravel()))], ["id", "fp"])
+            columns = [b.column(0), pa.ListArray.from_arrays(pa.array(at), pa.array(fps.view(np.int64).ravel()))]
+            if narrow:
+                columns.append(pa.array(np.array([majority(h) for h in hashes], np.uint64).view(np.int64)))
+            yield pa.RecordBatch.from_arrays(columns, ["id", "fp", "narrow"][: len(columns)])
 
     rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
-    return rows.mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, fp array<bigint>")
+    return rows.mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, fp array<bigint>{', narrow bigint' if narrow else ''}")
+
+
+def _by_tree(nodes: DataFrame, radius: int) -> DataFrame:
+    """(node, joined): the least node of each node's class by the links of all fingerprints ``narrow`` within ``radius``."""
+    distinct = stored(nodes.select(F.col("narrow").alias("fp")).distinct(), "simhash-narrow")
+    trees = connected_components(star_links(distinct, radius), "simhash-tree").select(F.col("node").alias("narrow"), F.col("root").alias("tree"))
+    # stored, so that adaptive execution can split the join with a class that many are of
+    classes = stored(nodes.select("node", "narrow").join(trees, "narrow", "left").select("node", F.coalesce("tree", "narrow").alias("tree")), "simhash-trees")
+    least = stored(classes.groupBy("tree").agg(F.min("node").alias("joined")), "simhash-tree-least")
+    return classes.join(least, "tree").select("node", "joined")
 
 
 def _keyed(nodes: DataFrame, tables: int, k: int) -> DataFrame:
@@ -223,23 +240,28 @@ def _verified(pairs: DataFrame, nodes: DataFrame, most: int) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").where(apart <= most).select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
 
 
-def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, seed: int = 42) -> DataFrame:
-    """(doc_id, component_id): one row per row of ``docs``; links are texts of an estimated similarity of at least ``similarity``."""
-    rows = stored(signatures(docs, id_col, text_col, words, seed), "simhash-wide")
-    spark = rows.sparkSession
-    nodes, path = placed(rows.groupBy("fp").agg(F.min("id").alias("least")).select(F.monotonically_increasing_id().alias("node"), "least", "fp"), "simhash-nodes")
-    nodes = nodes.withColumn("root", F.col("node"))
+def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, seed: int = 42, radius: int | None = None) -> DataFrame:
+    """(doc_id, component_id): one row per row of ``docs``; links are 64-bit fingerprints within ``radius``, if given, and texts of an estimated similarity of at least ``similarity``."""
+    rows = stored(signatures(docs, id_col, text_col, words, seed, radius is not None), "simhash-wide")
+    spark, prints = rows.sparkSession, rows.columns[1:]
+    nodes, path = placed(rows.groupBy(*prints).agg(F.min("id").alias("least")).select(F.monotonically_increasing_id().alias("node"), "least", *prints), "simhash-nodes")
+    if radius is None:
+        nodes = nodes.withColumn("root", F.col("node"))
+    else:
+        nodes, new = placed(nodes.join(_by_tree(nodes, radius), "node").select("node", "least", *prints, F.col("joined").alias("root")), "simhash-nodes")
+        discard(spark, path)
+        path = new
     k, tables = plan(nodes.count(), similarity)
     most = limit(BITS, similarity, 2)
     for whole in (False, True):
         links = _stars(nodes, tables, k, similarity, most) if whole else _verified(_neighbours(nodes, FIRST, k, similarity), nodes, most)
         roots = connected_components(links, "simhash-similar").select(F.col("node").alias("root"), F.col("root").alias("joined"))
-        nodes, new = placed(nodes.join(roots, "root", "left").select("node", "least", "fp", F.coalesce("joined", "root").alias("root")), "simhash-nodes")
+        nodes, new = placed(nodes.join(roots, "root", "left").select("node", "least", *prints, F.coalesce("joined", "root").alias("root")), "simhash-nodes")
         discard(spark, path)
         path = new
     least = stored(nodes.groupBy("root").agg(F.min("least").alias("component_id")), "simhash-least")
-    classes = stored(nodes.join(least, "root").select("fp", "component_id"), "simhash-classes")
-    return rows.join(classes, "fp").select(F.col("id").alias("doc_id"), "component_id")
+    classes = stored(nodes.join(least, "root").select(*prints, "component_id"), "simhash-classes")
+    return rows.join(classes, prints).select(F.col("id").alias("doc_id"), "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:

@@ -56,7 +56,10 @@ def shingle_hashes(text: str, words: int = 3, seed: int = 42) -> np.ndarray:
 
 def fingerprint(text: str, words: int = 3, seed: int = 42) -> int:
     """Majority bits of all shingles' hashes; 0 without words."""
-    hashes = shingle_hashes(text, words, seed)
+    return majority(shingle_hashes(text, words, seed))
+
+
+def majority(hashes: np.ndarray) -> int:
     n = len(hashes)
     if n < 2:
         return int(hashes[0]) if n else 0

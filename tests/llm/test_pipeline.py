@@ -72,6 +72,21 @@ def test_stages(spark):
     assert sorted(r.doc_id for r in P.run(spark, brute.SF).select("doc_id").collect()) == sorted(r["doc_id"] for r in encoded)
 
 
+def test_simhash_dedup_links_all_pairs_within_three_bits(spark):
+    """Texts of one long refrain and few other words: near by all shingles, not by the distinct ones that the tables count."""
+    docs = spark.read.parquet(f"{brute.SF}/documents.parquet").select("doc_id", "text")
+    refrains = [(10**6 + 10 * g + k, f"this is verse {g} of a very long song " * 100 + " ".join(f"tail{g}x{k}x{i}" for i in range(12))) for g in range(5) for k in range(4)]
+    docs = docs.unionAll(spark.createDataFrame(refrains, docs.schema))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    fps = {i: brute.simhash(t, P.WORDS) for i, t in texts.items()}
+    close = brute.components(sorted(fps), lambda i, j: (fps[i] ^ fps[j]).bit_count() <= 3)
+    assert all(close[10**6 + 10 * g + k] == 10**6 + 10 * g for g in range(5) for k in range(4))
+    left = {r.doc_id for r in P.simhash_dedup(spark, docs, brute.SF).collect()}
+    assert all(i not in left for i, root in close.items() if i != root)
+    assert left >= {10**6 + 10 * g for g in range(5)}
+    assert left == {r.doc_id for r in P.keep_one(docs, words=P.WORDS, similarity=P.SIMILARITY).collect()} - {i for i, root in close.items() if i != root}
+
+
 def test_stages_take_edges(spark):
     rows = brute.edge_rows()
     docs = brute.with_clashes(spark.createDataFrame(rows, brute.DOCS))
