@@ -173,7 +173,9 @@ def mine_classes(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_conf
     each = F.transform("items", lambda x, i: F.struct(x.alias("item"), F.slice("items", 1, i).alias("before")))
     parts = sets.select(*by, F.explode(each).alias("e")).groupBy("e.item", "e.before").agg(*[F.sum(c).alias(c) for c in by])
     bases = parts.select("item", "before", F.array(*by).alias("n"))
-    grew = bases.groupBy("item").applyInArrow(grow, "body array<int>, verdict int, support bigint, urls bigint")
+    # a number of its own, as few bytes may hold much work: adaptive execution would put them into one task
+    wide = max(1, min(len(reps), 4 * train.sparkSession.sparkContext.defaultParallelism))
+    grew = bases.repartition(wide, "item").groupBy("item").applyInArrow(grow, "body array<int>, verdict int, support bigint, urls bigint")
     found = [Rule(frozenset(reps[x] for x in r.body), names[r.verdict], r.support / r.urls, r.support) for r in grew.collect()]
     rank = {rep: k for k, rep in enumerate(reps)}
     kept: list[Rule] = []
