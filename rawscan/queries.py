@@ -73,7 +73,7 @@ def scan_records_custom_delim(spark, sf_dir):
 
 @query(f"SELECT doc_id, CAST(len(list_filter({RECORDS_SQL}, lambda x: x = '')) AS BIGINT) AS empty_records FROM documents")
 def scan_empty_records(spark, sf_dir):
-    return docs(spark, sf_dir).select("doc_id", F.size(F.filter(split_records(F.col("text")), lambda r: r == "")).cast("bigint").alias("empty_records"))
+    return docs(spark, sf_dir).select("doc_id", F.array_size(F.filter(split_records(F.col("text")), lambda r: r == "")).cast("bigint").alias("empty_records"))
 
 
 @query("SELECT lang, CAST(sum(length(text) + 1) AS BIGINT) AS chars FROM documents GROUP BY lang")
