@@ -63,7 +63,7 @@ RECORDS_SQL = "CASE WHEN text LIKE '%' || chr(10) THEN string_split(text, chr(10
 
 @query(f"SELECT doc_id, CAST(len({RECORDS_SQL}) AS BIGINT) AS records FROM documents")
 def scan_records(spark, sf_dir):
-    return docs(spark, sf_dir).select("doc_id", F.size(split_records(F.col("text"))).cast("bigint").alias("records"))
+    return docs(spark, sf_dir).select("doc_id", F.array_size(split_records(F.col("text"))).cast("bigint").alias("records"))
 
 
 @query("SELECT doc_id, CAST(len(CASE WHEN text LIKE '%.' THEN string_split(text, '.')[:-2] ELSE string_split(text, '.') END) AS BIGINT) AS records FROM documents")
