@@ -68,7 +68,7 @@ def scan_records(spark, sf_dir):
 
 @query("SELECT doc_id, CAST(len(CASE WHEN text LIKE '%.' THEN string_split(text, '.')[:-2] ELSE string_split(text, '.') END) AS BIGINT) AS records FROM documents")
 def scan_records_custom_delim(spark, sf_dir):
-    return docs(spark, sf_dir).select("doc_id", F.size(split_records(F.col("text"), ".")).cast("bigint").alias("records"))
+    return docs(spark, sf_dir).select("doc_id", F.array_size(split_records(F.col("text"), ".")).cast("bigint").alias("records"))
 
 
 @query(f"SELECT doc_id, CAST(len(list_filter({RECORDS_SQL}, lambda x: x = '')) AS BIGINT) AS empty_records FROM documents")

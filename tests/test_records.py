@@ -17,7 +17,7 @@ def odd_texts(tmp_path_factory):
 
 
 @pytest.mark.parametrize("ansi", ["true", "false"])
-@pytest.mark.parametrize("name", ["scan_empty_records", "scan_records"])
+@pytest.mark.parametrize("name", ["scan_empty_records", "scan_records", "scan_records_custom_delim"])
 def test_odd_texts_match_sql(spark, compare, odd_texts, name, ansi):
     before = spark.conf.get("spark.sql.ansi.enabled")
     spark.conf.set("spark.sql.ansi.enabled", ansi)
